@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,19 +51,48 @@ def id_type(docs: DataFrame, column: str = "doc_id") -> str:
     return docs.schema[column].dataType.simpleString()
 
 
-class WordCodes(dict):
-    """word -> 64-bit code; forgets everything when it holds ``limit`` words, so memory stays bounded."""
+class Remembered(dict):
+    """A table of two generations: at ``limit`` entries the present one becomes the older one, whose entries
+    still in use come back. Memory stays bounded and frequent keys stay known."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.older = limit, {}
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
         return value
 
+    def make(self, key):
+        raise NotImplementedError
+
+
+def kept_by_worker(key, make):
+    """What ``make`` returns, kept in this worker process for later tasks; a worker keeps one such thing."""
+    held = sys.modules.setdefault("tallywood_worker_state", types.ModuleType("tallywood_worker_state"))
+    if getattr(held, "key", None) != key:
+        held.key, held.value = None, None
+        held.value = make()
+        held.key = key
+    return held.value
+
+
+class WordCodes(Remembered):
+    """word -> 64-bit code."""
+
+    @staticmethod
+    def of_worker() -> WordCodes:
+        return kept_by_worker("word codes", WordCodes)
+
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
