@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import curve_packing, license_scan, ngram_join, piece_codec, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_curve_packing": curve_packing.op1_curve_packing,
+        "op2_license_scan": license_scan.op2_license_scan,
+        "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_sentencepiece_codec": piece_codec.op5_sentencepiece_codec,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_scan": license_scan.OP2_SQL,
+        "op3_ngram_jaccard_join": ngram_join.OP3_SQL,
+        "op4_quality_rules": quality_rules.OP4_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }

@@ -54,7 +54,7 @@ def _super_kmers(texts: list, codes: WordCodes, window: int, anchor: int):
 
 def _anchors(window: int, anchor: int):
     def run(batches):
-        codes = WordCodes()
+        codes = WordCodes.of_worker()
         for b in pieces(batches, "text"):
             h, c = np.unique(_super_kmers(binaries(b, "text"), codes, window, anchor)[-1], return_counts=True)
             yield pa.RecordBatch.from_arrays([longs(h), longs(c)], ["h", "c"])
@@ -64,7 +64,7 @@ def _anchors(window: int, anchor: int):
 
 def _send(window: int, anchor: int, bits, hot):
     def run(batches):
-        codes, hots = WordCodes(), hot.value
+        codes, hots = WordCodes.of_worker(), hot.value
         for b in pieces(batches, "text"):
             flat, row, start, place, n, h = _super_kmers(binaries(b, "text"), codes, window, anchor)
             take = np.flatnonzero(in_bitmap(bits.value, h) & ~np.isin(h, hots))
@@ -80,7 +80,7 @@ def _send(window: int, anchor: int, bits, hot):
 
 def _fingerprints(window: int, anchor: int, hot):
     def run(batches):
-        codes, hots = WordCodes(), hot.value
+        codes, hots = WordCodes.of_worker(), hot.value
         for b in pieces(batches, "text"):
             flat, row, start, place, n, h = _super_kmers(binaries(b, "text"), codes, window, anchor)
             take = np.flatnonzero(np.isin(h, hots))
