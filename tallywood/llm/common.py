@@ -165,6 +165,32 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
                 yield batch.slice(a, b - a)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """A sorted partition in chunks of about ``rows`` rows, each ending where column 0 changes."""
+    held, count = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy(zero_copy_only=False)
+        if count >= rows and held[-1].column(0)[-1].as_py() != h[0]:
+            yield joined()
+            held, count = [], 0
+        change = np.flatnonzero(np.diff(h)) + 1
+        last = int(change[-1]) if len(change) else 0
+        if last and count + last >= rows:
+            held.append(b.slice(0, last))
+            yield joined()
+            held, count, b = [], 0, b.slice(last)
+        held.append(b)
+        count += b.num_rows
+    if held:
+        yield joined()
+
+
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """Fixed-size bitmap (16 MB) of the hashes in ``column``: tells which values may be in it; others aren't.
 

@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WordCodes, binaries, bitmap, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes
+from .common import BASES, WordCodes, binaries, bitmap, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes, whole_groups
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a power of two) and bins of the suffix filter's histograms.
 SKETCH, BINS = 1 << 18, 32
+#: Rows of groups that are looked at together.
+GROUP_ROWS = 20_000
 
 
 def shingle_set(text: bytes | None, codes: WordCodes) -> np.ndarray:
@@ -115,25 +117,6 @@ def _prefixes(sketch, need: int):
     return run
 
 
-def _runs(batches, columns: int):
-    """Batches that end where column 0 changes; a run longer than a batch is gathered (its rows are narrow)."""
-    held = []
-    for b in batches:
-        t = b.column(0).to_numpy(zero_copy_only=False)
-        change = np.flatnonzero(np.diff(t)) + 1
-        last = int(change[-1]) if len(change) else 0
-        if held and len(t) and held[-1].column(0)[-1].as_py() != t[0]:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks().to_batches()[0]
-            held = []
-        if b.num_rows - last:
-            held.append(b.slice(last))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _shared_only(batches):
     """Rows of shingles that two classes have (sorted by shingle, class); repeats of a class go."""
     last_token = last_cls = None
@@ -175,7 +158,7 @@ def _stars(need: int):
     """Pairs of each class with the first compatible class of its group, in an order that depends on the shingle."""
 
     def run(batches):
-        for b in _runs(batches, 5):
+        for b in whole_groups(batches, GROUP_ROWS):
             token, cls, n, pos, comp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
             rank = mix((cls.view(np.uint64) ^ (token.view(np.uint64) & np.uint64(3))) * BASES[1])
             order = np.lexsort((rank, token))
@@ -204,7 +187,7 @@ def _all_pairs(need: int, most: int = 1 << 20):
     """Pairs of different components within each group that pass the filters."""
 
     def run(batches):
-        for b in _runs(batches, 5):
+        for b in whole_groups(batches, GROUP_ROWS):
             token, cls, n, pos, comp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
             order = np.lexsort((n, token))
             token, cls, n, pos, comp = token[order], cls[order], n[order], pos[order], comp[order]

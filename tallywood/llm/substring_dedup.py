@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WordCodes, binaries, bitmap, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min
+from .common import BASES, WordCodes, binaries, bitmap, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups
 
 CODE_BYTES = 6
 
@@ -126,24 +126,9 @@ def _count_bucket(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
 
 
 def _buckets(window: int, chunk_rows: int):
-    """Reads a partition sorted by minimiser in chunks that end where the minimiser changes."""
-
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(np.diff(h)) + 1
-            if held and len(h) and held[-1].column(0)[-1].as_py() != h[0] and sum(x.num_rows for x in held) >= chunk_rows:
-                yield _count_bucket(pa.Table.from_batches(held).combine_chunks().to_batches()[0], window)
-                held = []
-            if len(change) and sum(x.num_rows for x in held) + change[-1] >= chunk_rows:
-                held.append(b.slice(0, change[-1]))
-                yield _count_bucket(pa.Table.from_batches(held).combine_chunks().to_batches()[0], window)
-                held = [b.slice(change[-1])]
-            elif len(h):
-                held.append(b)
-        if held:
-            yield _count_bucket(pa.Table.from_batches(held).combine_chunks().to_batches()[0], window)
+        for b in whole_groups(batches, chunk_rows):
+            yield _count_bucket(b, window)
 
     return run
 
