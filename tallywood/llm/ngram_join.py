@@ -306,6 +306,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, similarity: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one whose doc_id names it, once if its row is repeated."""
+    stay = near_duplicates(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

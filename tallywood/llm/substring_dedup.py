@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WordCodes, binaries, bitmap, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups
+from .common import BASES, WordCodes, binaries, bitmap, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups
 
 CODE_BYTES = 6
 
@@ -152,13 +152,14 @@ def _keep(batches):
             n_words.append(len(words))
             n_removed.append(gone)
             kept.append(b" ".join(rest))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(b.schema.get_field_index("carried"))], ["doc_id", "n_words", "n_removed", "kept_text", "carried"])
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12, hot: int | None = None, chunk_rows: int = 20_000) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12, hot: int | None = None, chunk_rows: int = 20_000, carry: tuple = ()) -> DataFrame:
     """Words of ``docs`` (doc_id, text) without those under a window that starts anywhere else as well.
 
-    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), one row per input row.
+    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), one row per input row, and
+    with ``carry`` a struct ``carried`` of those columns.
 
     Null or empty texts: no words, nothing removed, empty text. Texts shorter than the window keep all.
     Repeated rows and rows that share a doc_id are documents of their own. Null ids are kept as they are.
@@ -167,7 +168,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     leave at most 2**16 such minimisers.
     """
     kind = id_type(docs)
-    base = narrow(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("int")
+    whole = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("th"), carried.alias("carried"))
+    base = whole.drop("carried")
     spark = docs.sparkSession
     text = base.select("text")
     seen = text.mapInArrow(_anchors(window, anchor), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").persist()
@@ -184,8 +187,17 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
         twice = alone.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
         covered = covered.unionByName(alone.join(twice, ["f1", "f2"]).select("doc_id", "th", "a", (F.col("a") + window).alias("b")))
     ranges = covered.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = base.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_keep, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+    joined = whole.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges", "carried")
+    carried_type = joined.schema["carried"].dataType.simpleString()
+    out = joined.mapInArrow(_keep, f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_type}")
+    return out if carry else out.drop("carried")
+
+
+def apply_removal(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with its columns, the kept words as text."""
+    out = remove_repeated_windows(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), **settings)
+    column = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[column.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
