@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, narrow
-from .native import words
+from .native import bitmap_chunks, split_by_bitmap, words
 
 LEAST_WORDS = 8
 
 
 def _lines(base: DataFrame) -> DataFrame:
     """One row per line with a word: doc_id, th, i, w (its words)."""
-    return base.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("w", words(F.col("line"))).filter(F.size("w") > 0).drop("line")
+    return base.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "th", "i", words(F.col("line")).alias("w"))
 
 
 def _halves(n, w):
@@ -42,14 +42,15 @@ def _removals(base: DataFrame, least_words: int) -> DataFrame:
     """doc_id, th, gone: line numbers to remove, for the documents that lose any."""
     place = F.struct("doc_id", "th", "i")
     n = F.size("w")
-    occurrences = _lines(base).select(place.alias("at"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("x"), "w").alias("h2"), F.when(n >= least_words, _halves(n, F.col("w"))).alias("halves"))
+    occurrences = cut(_lines(base).select(place.alias("at"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("x"), "w").alias("h2"), F.when(n >= least_words, _halves(n, F.col("w"))).alias("halves")))
     distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
     keys = distinct.select("h1", "h2", "first", F.explode("halves").alias("k"))
     several = keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
     asked = keys.join(several, "k", "left_semi").select("first.doc_id", "first.th", "first.i").distinct()
-    by_document = asked.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("i").alias("wanted"))
-    texts = base.join(by_document, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t"))).dropDuplicates(["doc_id", "th"])
-    wanted = texts.select("doc_id", "th", F.split("text", "\n").alias("l"), F.explode("wanted").alias("i")).select("doc_id", "th", "i", words(F.col("l")[F.col("i")]).alias("w"))
+    by_document = cut(asked.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("i").alias("wanted")))
+    texts, _ = split_by_bitmap(base, "th", bitmap_chunks(by_document, "t"))
+    texts = texts.join(by_document, texts.doc_id.eqNullSafe(F.col("d")) & (texts.th == F.col("t"))).dropDuplicates(["doc_id", "th"])
+    wanted = cut(texts.select("doc_id", "th", F.split("text", "\n").alias("l"), F.explode("wanted").alias("i")).select("doc_id", "th", "i", words(F.col("l")[F.col("i")]).alias("w")))
     # Variants: XOR of (word, place) hashes before the word left out, and of those after it, one place nearer.
     spelled = wanted.select("doc_id", "th", "i", F.size("w").alias("n"), F.posexplode("w").alias("j", "x")).withColumns({"a": F.xxhash64("x", "j"), "b": F.xxhash64("x", F.col("j") - 1)})
     line = Window.partitionBy("doc_id", "th", "i")
@@ -70,8 +71,8 @@ def _removals(base: DataFrame, least_words: int) -> DataFrame:
     pairs = pairs.unionByName(deleted.join(whole.select("len", "key", F.col("at").alias("other")), ["len", "key"]).select("at", "other", F.col("j").alias("cut_at"), F.lit(-1).alias("cut_other")))
     pairs = cut(pairs.filter("other < at").groupBy("at").agg(F.min(F.struct("other", "cut_at", "cut_other")).alias("p")).select("at", "p.*"))
     # Verification on the words: both lines of a pair, one word apart at most.
-    named = pairs.select(F.explode(F.array("at", "other")).alias("at")).distinct().groupBy(F.col("at.doc_id").alias("d"), F.col("at.th").alias("t")).agg(F.collect_list("at.i").alias("wanted"))
-    spoken = base.join(named, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t"))).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.split("text", "\n").alias("l"), F.explode("wanted").alias("i")).select(place.alias("of"), words(F.col("l")[F.col("i")]).alias("w"))
+    named = pairs.select(F.explode(F.array("at", "other")).alias("of")).distinct()
+    spoken = wanted.select(place.alias("of"), "w").join(named, "of", "left_semi")
     both = pairs.join(spoken.select(F.col("of").alias("at"), F.col("w").alias("x")), "at").join(spoken.select(F.col("of").alias("other"), F.col("w").alias("y")), "other")
     nx, ny, low = F.size("x"), F.size("y"), F.least(F.size("x"), F.size("y"))
     same_start = F.coalesce(F.array_position(F.zip_with(F.slice("x", F.lit(1), low), F.slice("y", F.lit(1), low), lambda a, b: a == b), False) - 1, F.lit(-1))
@@ -92,8 +93,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     the order. Ties in the order cannot occur otherwise. Other columns are ignored, lines of any length whole.
     """
     base = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    gone = _removals(base, least_words)
-    joined = base.join(gone, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t")), "left")
+    gone = cut(_removals(base, least_words))
+    some, none = split_by_bitmap(base, "th", bitmap_chunks(gone, "t"))
+    joined = some.join(gone, some.doc_id.eqNullSafe(F.col("d")) & (some.th == F.col("t")), "left").select("doc_id", "text", "gone")
+    joined = joined.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone")))
     lines = F.split("text", "\n")
     n = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
