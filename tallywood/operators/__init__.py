@@ -1 +1 @@
-
+"""Operators of the mining engine."""
