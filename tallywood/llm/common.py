@@ -6,6 +6,7 @@ splits at exactly ``[\\x20\\x09-\\x0D]+``, which are the definitions the operato
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import sys
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and broadcasts that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, each once, so that extra or clashing columns cannot interfere."""
     return docs.select(*[docs[c] for c in columns])
@@ -83,18 +91,29 @@ def kept_by_worker(key, make):
     return held.value
 
 
-class WordCodes(Remembered):
-    """word -> 64-bit code."""
-
-    @staticmethod
-    def of_worker() -> WordCodes:
-        return kept_by_worker("word codes", WordCodes)
-
-    def make(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, index of each word of the column among them, words of each row), by Arrow's kernels.
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    Words are those of ``bytes.split``; ``lower`` changes A-Z only.
+    """
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = lists.flatten().dictionary_encode()
+    index = flat.indices.to_numpy(zero_copy_only=False)
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = pc.index(flat.dictionary, "").as_py()  # around white space at an end, or for an empty text
+    if empty >= 0:
+        real = index != empty
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
+        index = index[real]
+    return flat.dictionary, index, counts
+
+
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit code of each word of the column, words of each row)."""
+    distinct, index, counts = split_words(texts, lower)
+    data = distinct.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))[index], counts
 
 
 def power(base: np.uint64, n: int) -> np.uint64:
@@ -142,6 +161,10 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def rows_of(arrow_type_source: pa.RecordBatch, column: str, take: np.ndarray) -> pa.Array:
     return arrow_type_source.column(arrow_type_source.schema.get_field_index(column)).take(pa.array(take))
 
@@ -154,8 +177,6 @@ def packed_binary(data: bytes, ends: np.ndarray) -> pa.Array:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``most_bytes`` (a single row may hold more)."""
-    import pyarrow.compute as pc
-
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // most_bytes

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, binaries, cut, id_type, longs, narrow, pieces, rows_of, shared_bytes, whole_groups
+from .common import binaries, column, cut, id_type, longs, narrow, pieces, rows_of, shared_bytes, whole_groups, word_codes
 
 DEPTH = 4
 #: Depth at which the tree is cut into subtrees, one for each pair of nearest bytes.
@@ -154,11 +154,11 @@ class HashTable:
         return out
 
 
-def _word_codes(texts: list, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the lower-cased words and ends, row of each)."""
-    words = [(t or b"").lower().split() for t in texts]
-    flat = [x for w in words for x in (codes.array(w), [END_WORD])]
-    return (np.concatenate(flat).astype(np.uint64) if flat else np.zeros(0, np.uint64)), np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the lower-cased words, then one end per row, row of each)."""
+    codes, counts = word_codes(texts, lower=True)
+    rows = np.arange(len(counts))
+    return np.append(codes, np.full(len(counts), END_WORD)), np.append(np.repeat(rows, counts), rows)
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,6 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches):
     """(kind, key, training count) of each task: kind 0 words, 1 (context, byte) pairs."""
-    codes = WordCodes.of_worker()
     words, pairs, rows = [], [], 0
 
     def rows_out():
@@ -181,9 +180,9 @@ def _counts(batches):
     for b in pieces(batches, "text"):
         held = np.array(b.column(b.schema.get_field_index("held_out")).to_pylist(), bool)
         texts = binaries(b, "text")
-        learn = [t for t, h in zip(texts, held, strict=True) if not h]
-        if learn:
-            words.append(np.unique(_word_codes(learn, codes)[0], return_counts=True))
+        learn = column(b, "text").filter(pa.array(~held))
+        if len(learn):
+            words.append(np.unique(_word_codes(learn)[0], return_counts=True))
         key, row = pair_keys(texts)
         for out in (False, True):
             if len(some := key[held[row] == out]):
@@ -240,13 +239,12 @@ def _scores(words, pairs, all_words: bool):
     """One row per document with what the hot tables give, and one per other key of it."""
 
     def run(batches):
-        codes = WordCodes.of_worker()
         word_table, pair_table = HashTable(*words.value), HashTable(*pairs.value)
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "kind", "key", "times"]
         for b in pieces(batches, "text"):
             texts = binaries(b, "text")
             size = len(texts)
-            code, row = _word_codes(texts, codes)
+            code, row = _word_codes(column(b, "text"))
             c = word_table.get(code)
             cold_word = np.isnan(c)
             known = np.bincount(row, np.where(cold_word, 0, c) > 0, size)

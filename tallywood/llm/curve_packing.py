@@ -13,6 +13,7 @@ carries 16-bit token ids where the vocabulary allows.
 from __future__ import annotations
 
 import bisect
+import gc
 import re
 import zlib
 
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, binaries, id_type, kept_by_worker, mix, narrow, pieces, tokenizer_path
+from .common import column, id_type, kept_by_worker, mix, narrow, packed_binary, pieces, split_words, tokenizer_path
 
 DIMENSIONS, BITS, FEATURES = 4, 10, 256
 #: Documents (about) whose keys set the ranges' borders.
-BORDER_SAMPLE = 20_000
+BORDER_SAMPLE = 5_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,31 +62,49 @@ PLAIN = re.compile(r"(?:[^\W\d_]+|[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+)+")
 PARTS = re.compile(r"[^\W\d_]+|[^\w]+|_+")
 
 
-class TokenCodes(Remembered):
+class TokenCodes(dict):
     """White-space word -> its ids as bytes; this tokenizer treats words apart, and letters and punctuation in them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
+        self.limit = limit
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
-    def make(self, word: str) -> bytes:
-        low = word.lower() if word.isascii() else word
-        if low != word:
-            return self[low]
-        if PLAIN.fullmatch(word) and PLAIN.fullmatch(word.lower()) and "_" not in word and not word.isalpha() and len(parts := PARTS.findall(word)) > 1:
-            return b"".join([self[x] for x in parts])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-
-
-def hilbert_of(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of each document's hashed token vector."""
+    def parts(self, word: str) -> tuple[str, ...] | list[str]:
+        """Pieces of a word that the tokenizer treats apart."""
+        if word.isalpha() or "_" in word or not PLAIN.fullmatch(word) or not (word.isascii() or PLAIN.fullmatch(word.lower())):
+            return (word,)
+        return PARTS.findall(word)
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; new ones go to the tokenizer together, which is faster than one by one."""
+        found = [self.get(w) for w in words]
+        split = {i: p for i, c in enumerate(found) if c is None and len(p := self.parts(words[i])) > 1}
+        apart = [words[i] for i, c in enumerate(found) if c is None and i not in split]
+        apart += [p for parts in split.values() for p in parts if p not in self]
+        coded: dict[str, bytes] = {}
+        for i in range(0, len(apart), 5000):
+            part = apart[i : i + 5000]
+            coded.update(zip(part, [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        for i, c in enumerate(found):
+            if c is None:
+                found[i] = b"".join([coded.get(p) or self.get(p) or b"" for p in split[i]]) if i in split else coded[words[i]]
+        if len(self) + len(coded) > self.limit:
+            self.clear()
+        self.update(coded)
+        return found
+
+
+def hilbert_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hilbert key of each document's hashed token vector; ``ids`` of all documents, ``ends``: where each one ends."""
     rng = np.random.default_rng(20_240_229)
     project = rng.standard_normal((FEATURES, DIMENSIONS))
     slot = (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(56)).astype(np.int64)
-    vectors = np.stack([np.bincount(slot[x.astype(np.int64) & 0xFFFF], minlength=FEATURES) for x in ids]).astype(float)
+    hashed = slot[ids & 0xFFFF]
+    vectors = np.stack([np.bincount(hashed[a:b], minlength=FEATURES) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]).astype(float)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     flat = (vectors / np.where(norm > 0, norm, 1)) @ project
     cells = np.clip(((np.tanh(flat) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
@@ -100,14 +119,28 @@ def _place(key: int, doc_id) -> tuple:
 def _tokens(path: str, end_id: int, borders: list[tuple]):
     def run(batches):
         codes = kept_by_worker(path, lambda: TokenCodes(path))
-        end = np.array([end_id], codes.kind).tobytes()
-        for b in pieces(batches, "text"):
-            split = [(t or b"").decode("utf-8", "replace").split() for t in binaries(b, "text")]
-            data = [b"".join([*map(codes.__getitem__, words), end]) for words in split]
-            keys = hilbert_of([np.frombuffer(x, codes.kind) for x in data])
+        for b in pieces(batches, "text", 16_000_000):
+            distinct, index, counts = split_words(column(b, "text"), lower=True)
+            gc.disable()  # many small objects, none in cycles
+            coded = [*codes.codes(distinct.to_pylist()), np.array([end_id], codes.kind).tobytes()]
+            gc.enable()
+            # Ids of every word in order, the end id after each document's.
+            order = np.full(len(index) + len(counts), len(coded) - 1, np.int64)
+            stops = np.cumsum(counts + 1)
+            place = np.ones(len(order), bool)
+            place[stops - 1] = False
+            order[place] = index
+            size = np.array([len(c) for c in coded], np.int64) // np.dtype(codes.kind).itemsize
+            begin = np.cumsum(size) - size
+            each = size[order]
+            total = np.cumsum(each)
+            flat = np.frombuffer(b"".join(coded), codes.kind)[np.repeat(begin[order] - (total - each), each) + np.arange(total[-1] if len(total) else 0)]
+            ends = total[stops - 1]
+            keys = hilbert_of(flat, ends)
+            data = packed_binary(flat.tobytes(), ends * flat.itemsize)
             ids = b.column(b.schema.get_field_index("doc_id"))
             part = [bisect.bisect_right(borders, _place(k, i)) for k, i in zip(keys.tolist(), ids.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["doc_id", "key", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(part, pa.int32()), data], ["doc_id", "key", "part", "ids"])
 
     return run
 

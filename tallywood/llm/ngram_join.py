@@ -24,23 +24,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WordCodes, binaries, bitmap, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, rolling, rows_of, shared_bytes, whole_groups
+from .common import BASES, bitmap, column, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, rows_of, shared_bytes, whole_groups, word_codes
 
 SHINGLE = 5
-#: Counters of the frequency sketch (a power of two) and bins of the suffix filter's histograms.
-SKETCH, BINS = 1 << 18, 32
+#: Counters of the frequency sketch (a power of two).
+SKETCH = 1 << 18
 #: Rows of groups that are looked at together.
 GROUP_ROWS = 20_000
+STAR_ROUNDS = 2
 
 
-def shingle_set(text: bytes | None, codes: WordCodes) -> np.ndarray:
-    """Sorted distinct hashes of the text's 5-word shingles."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(mix(rolling(codes.array(words), SHINGLE)))
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's 5-word shingles."""
+    codes, counts = word_codes(texts, lower=True)
+    grams = mix(rolling(codes, SHINGLE))
+    out = []
+    for row, (end, n) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)):
+        if n >= SHINGLE:
+            out.append(np.unique(grams[end - n : end - SHINGLE + 1]))
+        elif n:
+            whole = b" ".join(texts[row].as_py().encode().lower().split())
+            out.append(np.array([xxhash.xxh3_64_intdigest(whole, seed=n)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def _signature(s: np.ndarray) -> int:
@@ -49,15 +56,24 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _histogram(s: np.ndarray) -> bytes:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+    """The set's counts over a power of two of equal hash ranges, about one for each 16 items."""
+    bits = min(11, max(4, int(len(s) >> 4).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    """Least number of items in which sets of these histograms differ."""
+    x, y = np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1)).sum())
 
 
 def _scan(batches):
-    codes, sketch = WordCodes.of_worker(), np.zeros(SKETCH, np.int64)
+    sketch = np.zeros(SKETCH, np.int64)
     kind = None
     for b in pieces(batches, "text"):
         kind = b.column(0).type
-        sets = [shingle_set(t, codes) for t in binaries(b, "text")]
+        sets = shingle_sets(column(b, "text"))
         flat = np.concatenate(sets)
         sketch += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([
@@ -94,11 +110,10 @@ def _prefixes(sketch, need: int):
     """(shingle, class, n, position in rare-first order) of each set's prefix; a copy seen just before is skipped."""
 
     def run(batches):
-        codes, seen, counts = WordCodes.of_worker(), {}, sketch.value
+        seen, counts = {}, sketch.value
         for b in pieces(batches, "text"):
             out = []
-            for t in binaries(b, "text"):
-                s = shingle_set(t, codes)
+            for s in shingle_sets(column(b, "text")):
                 if not len(s):
                     continue
                 key = _signature(s)
@@ -154,13 +169,13 @@ def _fits(n1, p1, n2, p2, need: int):
     return (100 * np.minimum(n1, n2) >= need * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= overlap)
 
 
-def _stars(need: int):
-    """Pairs of each class with the first compatible class of its group, in an order that depends on the shingle."""
+def _stars(need: int, turn: int):
+    """Pairs of each class with the first compatible class of its group, in an order that depends on shingle and turn."""
 
     def run(batches):
         for b in whole_groups(batches, GROUP_ROWS):
             token, cls, n, pos, comp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-            rank = mix((cls.view(np.uint64) ^ (token.view(np.uint64) & np.uint64(3))) * BASES[1])
+            rank = mix((cls.view(np.uint64) ^ (token.view(np.uint64) & np.uint64(3)) ^ np.uint64(4 * turn)) * BASES[1])
             order = np.lexsort((rank, token))
             token, cls, n, pos, comp = token[order], cls[order], n[order], pos[order], comp[order]
             first = np.flatnonzero(np.append(True, np.diff(token) != 0))
@@ -223,9 +238,9 @@ def _suffix_filter(need: int):
             if not b.num_rows:
                 continue
             n1, n2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            h1, h2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for i in (4, 5))
+            least = np.array([_distance(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
             overlap = -(-need * (n1 + n2) // (100 + need))
-            keep = np.flatnonzero(np.abs(h1 - h2).sum(1) <= n1 + n2 - 2 * overlap)
+            keep = np.flatnonzero(least <= n1 + n2 - 2 * overlap)
             yield b.select(["a", "b"]).take(pa.array(keep))
 
     return run
@@ -233,11 +248,10 @@ def _suffix_filter(need: int):
 
 def _sets(bits):
     def run(batches):
-        codes = WordCodes.of_worker()
         for b in pieces(batches, "text"):
             want = np.flatnonzero(in_bitmap(bits.value, b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)))
             if len(want):
-                sets = [shingle_set(t, codes) for t in binaries(b.take(pa.array(want)), "text")]
+                sets = shingle_sets(column(b, "text").take(pa.array(want)))
                 data = b"".join(s.tobytes() for s in sets)
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), packed_binary(data, 8 * np.cumsum([len(s) for s in sets]))], ["cls", "items"])
 
@@ -289,13 +303,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         asked = cut(asked.mapInArrow(_suffix_filter(similarity), "a long, b long"))
         named = asked.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.xxhash64("rep").alias("h"))
         bits = shared_bytes(spark, bitmap(named, "h"))
-        items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(bits), "cls long, items binary").groupBy("cls").agg(F.min("items").alias("items"))
+        items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(bits), "cls long, items binary")
         both = asked.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    for finder in (_stars, _all_pairs):
+    for finder in (*[_stars(similarity, turn) for turn in range(STAR_ROUNDS)], _all_pairs(similarity)):
+        release(spark)
         at = shared.join(comp, shared.cls == comp.node, "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-        pairs = at.repartition("token").sortWithinPartitions("token").mapInArrow(finder(similarity), "a long, b long")
+        pairs = at.repartition("token").sortWithinPartitions("token").mapInArrow(finder, "a long, b long")
         new = cut(verified(pairs))
         links = new if links is None else links.unionByName(new)
         comp = components(links)

@@ -22,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WordCodes, binaries, bitmap, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups
+from .common import BASES, binaries, bitmap, column, cut, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups, word_codes
+from .native import bitmap_chunks, split_by_bitmap
 
 CODE_BYTES = 6
 
 
-def _super_kmers(texts: list, codes: WordCodes, window: int, anchor: int):
+def _super_kmers(texts: pa.Array, window: int, anchor: int):
     """(word codes, row of each super-k-mer, its first word there, in the codes, windows, minimiser)."""
-    words = [(t or b"").split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    flat = np.concatenate([codes.array(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
+    flat, counts = word_codes(texts)
     none = np.zeros(0, np.int64)
     if len(flat) < window:
         return flat, none, none, none, none, np.zeros(0, np.uint64)
@@ -54,9 +53,8 @@ def _super_kmers(texts: list, codes: WordCodes, window: int, anchor: int):
 
 def _anchors(window: int, anchor: int):
     def run(batches):
-        codes = WordCodes.of_worker()
         for b in pieces(batches, "text"):
-            h, c = np.unique(_super_kmers(binaries(b, "text"), codes, window, anchor)[-1], return_counts=True)
+            h, c = np.unique(_super_kmers(column(b, "text"), window, anchor)[-1], return_counts=True)
             yield pa.RecordBatch.from_arrays([longs(h), longs(c)], ["h", "c"])
 
     return run
@@ -64,9 +62,9 @@ def _anchors(window: int, anchor: int):
 
 def _send(window: int, anchor: int, bits, hot):
     def run(batches):
-        codes, hots = WordCodes.of_worker(), hot.value
+        hots = hot.value
         for b in pieces(batches, "text"):
-            flat, row, start, place, n, h = _super_kmers(binaries(b, "text"), codes, window, anchor)
+            flat, row, start, place, n, h = _super_kmers(column(b, "text"), window, anchor)
             take = np.flatnonzero(in_bitmap(bits.value, h) & ~np.isin(h, hots))
             row, start, place, n, h = row[take], start[take], place[take], n[take], h[take]
             length = n + window - 1
@@ -80,9 +78,9 @@ def _send(window: int, anchor: int, bits, hot):
 
 def _fingerprints(window: int, anchor: int, hot):
     def run(batches):
-        codes, hots = WordCodes.of_worker(), hot.value
+        hots = hot.value
         for b in pieces(batches, "text"):
-            flat, row, start, place, n, h = _super_kmers(binaries(b, "text"), codes, window, anchor)
+            flat, row, start, place, n, h = _super_kmers(column(b, "text"), window, anchor)
             take = np.flatnonzero(np.isin(h, hots))
             row, start, place, n = row[take], start[take], place[take], n[take]
             total = np.cumsum(n)
@@ -97,9 +95,9 @@ def _fingerprints(window: int, anchor: int, hot):
 
 def _count_bucket(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Ranges of words under windows that occur twice in these whole buckets."""
-    column = batch.column(4)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, CODE_BYTES)
+    packed = batch.column(4)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    raw = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, CODE_BYTES)
     flat = np.zeros((len(raw), 8), np.uint8)
     flat[:, :CODE_BYTES] = raw
     flat = flat.view(np.uint64).reshape(-1)
@@ -164,8 +162,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     Null or empty texts: no words, nothing removed, empty text. Texts shorter than the window keep all.
     Repeated rows and rows that share a doc_id are documents of their own. Null ids are kept as they are.
     Other columns are ignored. Ties cannot occur: every copy of a repeated window goes, none is preferred.
-    ``hot``: occurrences from which a minimiser's windows go by fingerprint; by default 2**14, or as many as
-    leave at most 2**16 such minimisers.
+    ``hot``: occurrences from which a minimiser's windows go by fingerprint; by default 2**16, or as many as
+    leave at most 2**20 such minimisers.
     """
     kind = id_type(docs)
     carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("int")
@@ -176,18 +174,21 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     seen = text.mapInArrow(_anchors(window, anchor), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").persist()
     bits = shared_bytes(spark, bitmap(seen, "h"))
     total = seen.agg(F.sum("c")).first()[0] or 0
-    least = hot if hot is not None else max(1 << 14, total >> 16)
+    least = hot if hot is not None else max(1 << 16, total >> 20)
     hots = np.array([r[0] for r in seen.filter(F.col("c") > least).select("h").collect()], np.int64).view(np.uint64)
     seen.unpersist()
     hot_keys = shared_bytes(spark, hots)
     sent = base.mapInArrow(_send(window, anchor, bits, hot_keys), f"h long, doc_id {kind}, th long, start long, codes binary")
     covered = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_buckets(window, chunk_rows), f"doc_id {kind}, th long, a long, b long")
     if len(hots):
-        alone = base.mapInArrow(_fingerprints(window, anchor, hot_keys), f"f1 long, f2 long, doc_id {kind}, th long, a long")
+        alone = cut(base.mapInArrow(_fingerprints(window, anchor, hot_keys), f"f1 long, f2 long, doc_id {kind}, th long, a long"))
         twice = alone.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
         covered = covered.unionByName(alone.join(twice, ["f1", "f2"]).select("doc_id", "th", "a", (F.col("a") + window).alias("b")))
     ranges = covered.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = whole.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges", "carried")
+    ranges = cut(ranges)
+    some, rest = split_by_bitmap(whole, "th", bitmap_chunks(ranges, "t"))
+    joined = some.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges", "carried")
+    joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"), "carried"))
     carried_type = joined.schema["carried"].dataType.simpleString()
     out = joined.mapInArrow(_keep, f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_type}")
     return out if carry else out.drop("carried")
