@@ -78,7 +78,7 @@ def queries() -> dict:
         "diffset_pairs": _of(lambda tx, pf: diffset(single_rows(utility_rows(tx, pf)), utility_rows(tx, pf))),
         "eucs_pairs": _of(lambda tx, pf: pair_bounds(usable(tx, pf))),
         "prune_ptwu": _of(lambda tx, pf: prune_ptwu(item_bounds(tx, pf).select("item", "ptwu"), PTWU_LEAST)),
-        "prune_ep": _of(lambda tx, pf: prune_ep(measures(_pairs(tx, pf), "items").select("items", "ep"), EP_LEAST), "part"),
+        "prune_ep": _of(lambda tx, pf: prune_ep(measures(_pairs(tx, pf), "items").select("items", "ep"), EP_LEAST).select("items", (100_000 * F.col("ep")).alias("ep_e5")), "part"),
         "prune_bound": _of(lambda tx, pf: prune_bound(measures(_pairs(tx, pf), "items").select("items", "bound"), BOUND_LEAST)),
         "prune_eucs": _of(lambda tx, pf: prune_pairs(measures(_pairs(tx, pf), "items").select("items", "eu"), pair_bounds(usable(tx, pf)), PAIR_LEAST)),
         "topk_mixed_levelwise": _mined(strategy="levelwise"),
@@ -159,7 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "diffset_pairs": b + "SELECT a.item::VARCHAR AS items, b.item, (a.n - COUNT(j.tid))::BIGINT AS missing FROM (SELECT item, rank, COUNT(*) AS n FROM ur GROUP BY 1, 2) a JOIN rk b ON b.rank > a.rank LEFT JOIN (SELECT l.item AS i, r.item AS j, l.tid FROM ur l JOIN ur r ON l.tid = r.tid) j ON j.i = a.item AND j.j = b.item GROUP BY a.item, b.item, a.n",
         "eucs_pairs": b + "SELECT l.item AS i1, r.item AS i2, ROUND(SUM(l.ptu * l.prob * r.prob), 4) AS bound FROM e l JOIN e r ON l.tid = r.tid AND l.item < r.item GROUP BY 1, 2",
         "prune_ptwu": b + f"SELECT item, ROUND(SUM(ptu), 4) AS ptwu FROM e GROUP BY item HAVING SUM(ptu) >= {PTWU_LEAST} - 1e-10",
-        "prune_ep": _base("part") + f"SELECT {_X} AS items, ROUND({_EP}, 4) AS ep FROM pr GROUP BY x HAVING {_EP} >= {EP_LEAST} - 1e-10",
+        "prune_ep": _base("part") + f"SELECT {_X} AS items, ROUND(100000 * ({_EP}), 4) AS ep_e5 FROM pr GROUP BY x HAVING {_EP} >= {EP_LEAST} - 1e-10",
         "prune_bound": b + f"SELECT {_X} AS items, ROUND(SUM(GREATEST(u + rem, 0) * p), 4) AS bound FROM pr GROUP BY x HAVING SUM(GREATEST(u + rem, 0) * p) >= {BOUND_LEAST} - 1e-10",
         "prune_eucs": b + f", c AS (SELECT [l.item, r.item] AS x FROM e l JOIN e r ON l.tid = r.tid AND l.item < r.item GROUP BY l.item, r.item HAVING SUM(l.ptu * l.prob * r.prob) >= {PAIR_LEAST} - 1e-10) SELECT {_X} AS items, ROUND(SUM(u * p), 4) AS eu FROM pr SEMI JOIN c USING (x) GROUP BY x",
         "topk_mixed_levelwise": mixed,
