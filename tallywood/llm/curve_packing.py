@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import gc
+import os
 import re
 import zlib
 
@@ -59,19 +60,23 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 #: A run of letters, or of ASCII punctuation but for the apostrophe and the signs of special tokens.
 PLAIN = re.compile(r"(?:[^\W\d_]+|[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+)+")
+UNIT = re.compile(r"[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+")
 PARTS = re.compile(r"[^\W\d_]+|[^\w]+|_+")
 
 
 class TokenCodes(dict):
     """White-space word -> its ids as bytes; this tokenizer treats words apart, and letters and punctuation in them."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         self.limit = limit
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.last = np.zeros(1 << 16 if self.kind == "<u2" else 1 << 24, bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def parts(self, word: str) -> tuple[str, ...] | list[str]:
         """Pieces of a word that the tokenizer treats apart."""
@@ -79,19 +84,37 @@ class TokenCodes(dict):
             return (word,)
         return PARTS.findall(word)
 
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of words. Runs of letters or of punctuation are single units, whose last ids are marked in the
+        vocabulary, so thousands of them are one text for the tokenizer; all other words go one by one."""
+        out: dict[str, bytes] = {}
+        units = [w for w in words if w.isalpha() or UNIT.fullmatch(w)]
+        for i in range(0, len(units), 20_000):
+            part = units[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+            if len(ends) == len(part):
+                data, begin = ids.tobytes(), 0
+                for w, end in zip(part, ends.tolist(), strict=True):
+                    out[w] = data[begin:end]
+                    begin = end
+        rest = [w for w in words if w not in out]
+        for i in range(0, len(rest), 5000):
+            for w, e in zip(part := rest[i : i + 5000], self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[w] = np.array(e.ids, self.kind).tobytes()
+        return [out[w] for w in words]
+
     def codes(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; new ones go to the tokenizer together, which is faster than one by one."""
-        found = [self.get(w) for w in words]
-        split = {i: p for i, c in enumerate(found) if c is None and len(p := self.parts(words[i])) > 1}
-        apart = [words[i] for i, c in enumerate(found) if c is None and i not in split]
-        apart += [p for parts in split.values() for p in parts if p not in self]
-        coded: dict[str, bytes] = {}
-        for i in range(0, len(apart), 5000):
-            part = apart[i : i + 5000]
-            coded.update(zip(part, [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        for i, c in enumerate(found):
-            if c is None:
-                found[i] = b"".join([coded.get(p) or self.get(p) or b"" for p in split[i]]) if i in split else coded[words[i]]
+        """Ids of distinct words, as bytes."""
+        found = list(map(self.get, words))
+        new = [i for i, c in enumerate(found) if c is None]
+        split = {i: p for i in new if len(p := self.parts(words[i])) > 1}
+        apart = [words[i] for i in new if i not in split]
+        apart += dict.fromkeys(p for parts in split.values() for p in parts if p not in self)
+        apart = list(dict.fromkeys(apart))
+        coded = dict(zip(apart, self.encode_new(apart), strict=True))
+        for i in new:
+            found[i] = b"".join([coded.get(p) or self.get(p) or b"" for p in split[i]]) if i in split else coded[words[i]]
         if len(self) + len(coded) > self.limit:
             self.clear()
         self.update(coded)
