@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, column, cut, id_type, longs, narrow, pieces, rows_of, shared_bytes, whole_groups, word_codes
+from .common import binaries, column, cut, id_type, longs, narrow, pieces, release, rows_of, shared_bytes, whole_groups, word_codes
 
 DEPTH = 4
 #: Depth at which the tree is cut into subtrees, one for each pair of nearest bytes.
@@ -276,12 +276,23 @@ def _scores(words, pairs, all_words: bool):
     return run
 
 
+def _packed(batches):
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in (0, 1)], ["k", "v"])
+
+
 def _hot(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(keys, values, are these all) of the most frequent keys, a bounded number."""
-    got = table.orderBy(F.desc("n"), "key").limit(most + 1).select("key", "value").toPandas()
-    whole = len(got) <= most
-    got = got.head(most)
-    return got["key"].to_numpy(np.int64).view(np.uint64), got["value"].to_numpy(float), whole
+    """(keys, values, are these all) of the keys that occur at least 2^m times, for the least m that gives at most ``most``."""
+    octave = F.floor(F.log2(F.col("n") + 1))
+    sizes = sorted(((int(o), c) for o, c in table.groupBy(octave.alias("o")).count().collect()), reverse=True)
+    taken, least = 0, (sizes[0][0] + 1 if sizes else 0)
+    for o, c in sizes:
+        if taken + c > most:
+            break
+        taken, least = taken + c, o
+    got = table.filter(octave >= least).select("key", "value").mapInArrow(_packed, "k binary, v binary").collect()
+    return np.frombuffer(b"".join(k for k, _ in got), np.uint64), np.frombuffer(b"".join(v for _, v in got), np.float64), taken == sum(c for _, c in sizes)
 
 
 def score_documents(docs: DataFrame, held_out=None, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -303,6 +314,7 @@ def score_documents(docs: DataFrame, held_out=None, hot_words: int = HOT_WORDS,
     grown = cut(counts.filter("kind = 1").select(F.shiftright("key", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("top"), "key", "n").repartition("top").sortWithinPartitions("top").mapInArrow(_grow, "key long, n long, chance array<double>, near int, node int, pw double, a double, b double"))
     sums = np.array([tuple(r) for r in grown.filter("node >= 0").groupBy("near", "node").agg(F.sum("pw"), F.sum("a"), F.sum("b")).collect()]).reshape(-1, 5)
     pairs = cut(grown.filter("node < 0").select("key", "n", "chance").mapInArrow(_mixed(upper_levels(sums)), "key long, n long, value double"))
+    release(spark)
     word_keys, word_values, all_words = _hot(words, hot_words)
     pair_keys_, pair_values, _ = _hot(pairs, hot_pairs)
     hot_w, hot_p = shared_bytes(spark, (word_keys, word_values)), shared_bytes(spark, (pair_keys_, pair_values))
