@@ -101,6 +101,8 @@ class Page:
             bad = bad or not NOT_WORDS.isdisjoint(re.split(r"[\s_\-]+", f"{names.get('class', '')} {names.get('id', '')}"))
         if tag in ("article", "main"):
             self.articles.add(self.count)
+        if bad:
+            self.flush()
         if not rest.endswith("/") or tag in BLOCK:
             self.stack.append((tag, self.count, bad))
 
@@ -112,8 +114,12 @@ class Page:
             if tag in BLOCK or tag in NOT_TEXT:
                 self.flush()
                 self.pop_to({tag}, set())
-            elif any(s[0] == tag for s in self.stack[self._last_block() :]):
-                self.pop_to({tag}, set())
+            else:  # inline: its text goes on, unless it is none of the article's
+                at = max((i for i, s in enumerate(self.stack) if s[0] == tag and i > self._last_block()), default=None)
+                if at is not None:
+                    if any(s[2] for s in self.stack[at:]):
+                        self.flush()
+                    del self.stack[at:]
 
     def _last_block(self) -> int:
         return max((i for i, s in enumerate(self.stack) if s[0] in BLOCK), default=0)
