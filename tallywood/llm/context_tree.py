@@ -177,7 +177,7 @@ def _counts(batches):
                 keys, n = _merged(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), longs(keys), longs(n)], ["kind", "key", "n"])
 
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", 2_000_000):
         held = np.array(b.column(b.schema.get_field_index("held_out")).to_pylist(), bool)
         texts = binaries(b, "text")
         learn = column(b, "text").filter(pa.array(~held))
@@ -189,7 +189,7 @@ def _counts(batches):
                 k, n = np.unique(some, return_counts=True)
                 pairs.append((k, n * 0 if out else n))
         rows += 1
-        if rows % 8 == 0:
+        if rows % 16 == 0:
             words[:], pairs[:] = [_merged(words)] if words else [], [_merged(pairs)]
             if len(words) and len(words[0][0]) + len(pairs[0][0]) > 2_000_000:
                 yield from rows_out()
@@ -241,7 +241,7 @@ def _scores(words, pairs, all_words: bool):
     def run(batches):
         word_table, pair_table = HashTable(*words.value), HashTable(*pairs.value)
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "kind", "key", "times"]
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2_000_000):
             texts = binaries(b, "text")
             size = len(texts)
             code, row = _word_codes(column(b, "text"))
