@@ -2,15 +2,19 @@
 
 A document's set is its distinct 5-word shingles (64-bit hashes). Two sets link at Jaccard >= 0.8.
 
-1. One pass hashes every set: a 128-bit signature per document, a histogram of the set for the suffix
-   filter, and a count of all shingles in a fixed-size sketch. Equal sets become one class.
+1. One pass hashes every set: a 128-bit signature and a bitmap of parities per document, and a count of all
+   shingles in a fixed-size sketch. Equal sets become one class. Two sets differ in at least as many items as
+   their parities differ in bits, which is the suffix filter; it lets through little below the similarity.
 2. Shingles are ordered by (sketch count, hash), rare first; any total order keeps prefix filtering exact.
    The first n - ceil(0.8 n) + 1 shingles of each set go to their shingle's group, where groups with one
    class end.
-3. Star rounds: each class meets the first compatible class of its groups (in four different orders), so a
-   group of near copies costs rows in proportion to its size. Links join classes into components.
-4. Last round: every pair that shares a prefix shingle, passes the filters and is not yet in one component
-   is verified, so no link that would change a component is lost.
+3. Star round: a few shingles of each prefix only. A group's centre is the class nearest to the majority of
+   the group's parities, usually the text that the others were made from; classes that pass the filters meet
+   it, so a group of near copies costs pairs in proportion to its size. Links join classes into components.
+4. Groups whose classes of compatible lengths are in one component end. The others are compared inside the
+   tasks, row by row against blocks: first a spanning forest of what passes the filters, then, after its
+   links have joined components, every pair that passes and is not yet in one component, so no link that
+   would change a component is lost.
 
 Every pair is verified once on the whole sets. Joins are ordinary shuffles, which adaptive execution splits
 where a key is hot; the driver sees the sketch and bitmaps only, both of fixed size.
@@ -24,14 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, bitmap, column, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, rows_of, shared_bytes, whole_groups, word_codes
+from .common import bitmap, column, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, shared_bytes, whole_groups, word_codes
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a power of two).
 SKETCH = 1 << 18
 #: Rows of groups that are looked at together.
 GROUP_ROWS = 20_000
-STAR_ROUNDS = 2
+#: Shingles of a prefix that are used in the star round (it only saves work: the later rounds take all).
+STAR_SHINGLES = 6
+#: Centres of a group in the star round.
+STAR_CENTRES = 6
+#: Groups up to this size are compared together, larger ones one at a time.
+SMALL_GROUP = 32
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -55,17 +64,54 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _histogram(s: np.ndarray) -> bytes:
-    """The set's counts over a power of two of equal hash ranges, about one for each 16 items."""
-    bits = min(11, max(4, int(len(s) >> 4).bit_length()))
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
-
-
-def _distance(x: bytes, y: bytes) -> int:
-    """Least number of items in which sets of these histograms differ."""
-    x, y = np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64)
-    n = min(len(x), len(y))
-    return int(np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1)).sum())
+def _parity(s: np.ndarray) -> bytes:
+    """Parities of the set's counts over 128 to 2,048 bins, a power of two of at least 1.5 bins per item if that is in range."""
+    bits = 1 << min(11, max(7, (3 * len(s) // 2).bit_length()))
+    at = ((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class _Parities:
+    """A column of parity bitmaps; those of twice the size are folded where they meet smaller ones."""
+
+    def __init__(self, column: pa.Array):
+        data = column.to_pylist()
+        self.size = np.fromiter(map(len, data), np.int64, len(data))
+        self.tables = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            own = np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+            above = np.flatnonzero(self.size == 2 * size)
+            if len(above):
+                twice = np.frombuffer(b"".join([data[i] for i in above.tolist()]), np.uint64).reshape(len(above), 2, -1)
+                own = np.concatenate((own, twice[:, 0] ^ twice[:, 1]))
+            place = np.full(len(data), -1, np.int64)
+            place[np.concatenate((at, above))] = np.arange(len(own))
+            self.tables[size] = place, own
+
+    def distance(self, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """Least number of items in which the sets of rows i and j differ; 0 where the sizes are too far apart."""
+        i, j = np.broadcast_arrays(i, j)
+        out = np.zeros(len(i), np.int64)
+        size = np.minimum(self.size[i], self.size[j])
+        for s in np.unique(size).tolist():
+            place, rows = self.tables[s]
+            sel = np.flatnonzero((size == s) & (place[i] >= 0) & (place[j] >= 0))
+            for k in range(0, len(sel), block):
+                at = sel[k : k + block]
+                out[at] = np.bitwise_count(rows[place[i[at]]] ^ rows[place[j[at]]]).sum(1)
+        return out
+
+    def nearest_to_majority(self, among: np.ndarray, like: int, block: int = 1 << 12) -> int:
+        """The row of ``among`` nearest to the majority of their parities, at the size of row ``like``."""
+        place, rows = self.tables[int(self.size[like])]
+        among = among[place[among] >= 0]
+        ones = np.zeros(rows.shape[1] * 64, np.int64)
+        for k in range(0, len(among), block):
+            ones += np.unpackbits(rows[place[among[k : k + block]]].view(np.uint8), axis=1).sum(0, dtype=np.int64)
+        majority = np.packbits((2 * ones > len(among)).astype(np.uint8)).view(np.uint64)
+        away = np.concatenate([np.bitwise_count(rows[place[among[k : k + block]]] ^ majority).sum(1) for k in range(0, len(among), block)])
+        return int(among[np.argmin(away)])
 
 
 def _scan(batches):
@@ -78,10 +124,10 @@ def _scan(batches):
         sketch += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([
             b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63) for s in sets], pa.int64()), pa.array([_histogram(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
-        ], ["doc_id", "n", "cls", "s2", "hist", "sketch"])
+            pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
+        ], ["doc_id", "n", "cls", "s2", "parity", "sketch"])
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([sketch.tobytes()], pa.binary())], ["doc_id", "n", "cls", "s2", "hist", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([sketch.tobytes()], pa.binary())], ["doc_id", "n", "cls", "s2", "parity", "sketch"])
 
 
 def _add_sketches(batches):
@@ -107,7 +153,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sketch, need: int):
-    """(shingle, class, n, position in rare-first order) of each set's prefix; a copy seen just before is skipped."""
+    """(shingle, class, n, position in rare-first order, whether for the star round) of each set's prefix; a copy seen just before is skipped."""
 
     def run(batches):
         seen, counts = {}, sketch.value
@@ -124,10 +170,12 @@ def _prefixes(sketch, need: int):
                 seen[key] = None
                 k = len(s) - -(-need * len(s) // 100) + 1
                 order = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]
-                out.append((s[order], key, len(s)))
+                star = np.zeros(len(order), bool)
+                star[np.argsort(mix(s[order]))[:STAR_SHINGLES]] = True
+                out.append((s[order], key, len(s), star))
             if out:
                 lengths = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate([x[0] for x in out])), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), lengths)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]))], ["token", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([longs(np.concatenate([x[0] for x in out])), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), lengths)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])), pa.array(np.concatenate([x[3] for x in out]))], ["token", "cls", "n", "pos", "star"])
 
     return run
 
@@ -169,79 +217,140 @@ def _fits(n1, p1, n2, p2, need: int):
     return (100 * np.minimum(n1, n2) >= need * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= overlap)
 
 
-def _stars(need: int, turn: int):
-    """Pairs of each class with the first compatible class of its group, in an order that depends on shingle and turn."""
+class _Group:
+    """Rows (token, cls, n, pos, comp, parity) of whole groups, ordered by token and n."""
+
+    def __init__(self, batch: pa.RecordBatch, need: int):
+        self.need = need
+        values = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+        order = np.lexsort((values[2], values[0]))
+        self.token, self.cls, self.n, self.pos, self.comp = (v[order] for v in values)
+        self.first = np.flatnonzero(np.append(True, np.diff(self.token) != 0))
+        self.end = np.append(self.first[1:], len(self.token))
+        self.parities = _Parities(batch.column(5).take(pa.array(order)))
+
+    def passing(self, i, j) -> np.ndarray:
+        """Which of the pairs of rows i, j pass the length, positional and suffix filters."""
+        i, j = np.broadcast_arrays(i, j)
+        n1, n2 = self.n[i], self.n[j]
+        ok = _fits(n1, self.pos[i], n2, self.pos[j], self.need)
+        at = np.flatnonzero(ok)
+        if len(at):
+            n1, n2 = n1[at], n2[at]
+            most = n1 + n2 - 2 * -(-self.need * (n1 + n2) // (100 + self.need))
+            ok[at] = self.parities.distance(i[at], j[at]) <= most
+        return ok
+
+    def pairs(self, found: list) -> pa.RecordBatch:
+        """Classes of the pairs of rows, each once."""
+        at = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        got = np.unique(np.sort(np.stack([self.cls[at[0]], self.cls[at[1]]], 1), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+
+def _stars(need: int):
+    """Pairs of classes with the centres of their groups."""
 
     def run(batches):
         for b in whole_groups(batches, GROUP_ROWS):
-            token, cls, n, pos, comp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-            rank = mix((cls.view(np.uint64) ^ (token.view(np.uint64) & np.uint64(3)) ^ np.uint64(4 * turn)) * BASES[1])
-            order = np.lexsort((rank, token))
-            token, cls, n, pos, comp = token[order], cls[order], n[order], pos[order], comp[order]
-            first = np.flatnonzero(np.append(True, np.diff(token) != 0))
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
-            left = np.arange(len(token))
-            pairs = []
-            while len(left):  # each turn the first row left of each group is its centre; rows that fit it leave with it
-                g = group[left]
-                head = left[np.flatnonzero(np.append(True, np.diff(g) != 0))]
-                centre = head[np.searchsorted(group[head], g)]
-                other = left != centre
-                fit = other & _fits(n[left], pos[left], n[centre], pos[centre], need)
-                ask = fit & (comp[left] != comp[centre])
-                pairs.append(np.stack([cls[left[ask]], cls[centre[ask]]], 1))
-                left = left[other & ~fit]
-            pairs = np.concatenate(pairs)
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            g = _Group(b, need)
+            two = g.first[g.end - g.first == 2]
+            two = two[g.passing(two, two + 1)]
+            found = [np.stack([two, two + 1])]
+            for first, end in zip(g.first.tolist(), g.end.tolist(), strict=True):
+                left = np.arange(first, end)
+                for _ in range(STAR_CENTRES if end - first > 2 else 0):
+                    like = left[len(left) // 2]
+                    near = left[100 * np.minimum(g.n[left], g.n[like]) >= need * np.maximum(g.n[left], g.n[like])]
+                    centre = g.parities.nearest_to_majority(near, like)
+                    other = left[left != centre]
+                    ok = g.passing(other, centre)
+                    found.append(np.stack([other[ok], np.full(ok.sum(), centre)]))
+                    left = other[~ok]
+                    if len(left) < 2:
+                        break
+            yield g.pairs(found)
 
     return run
 
 
-def _all_pairs(need: int, most: int = 1 << 20):
-    """Pairs of different components within each group that pass the filters."""
+def _undecided(need: int):
+    """Rows whose group has a class of another component and a compatible length."""
 
     def run(batches):
         for b in whole_groups(batches, GROUP_ROWS):
             token, cls, n, pos, comp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
             order = np.lexsort((n, token))
-            token, cls, n, pos, comp = token[order], cls[order], n[order], pos[order], comp[order]
-            step = 1
-            live = np.arange(len(token))
-            out = []
-            while True:  # row i against row i + step, for each step while any group and length allows it
-                live = live[live + step < len(token)]
-                live = live[(token[live] == token[live + step]) & (100 * n[live] >= need * n[live + step])]
-                if not len(live):
-                    break
-                other = live + step
-                ask = (comp[live] != comp[other]) & _fits(n[live], pos[live], n[other], pos[other], need)
-                if ask.any():
-                    out.append(np.stack([cls[live[ask]], cls[other[ask]]], 1))
-                if sum(map(len, out)) > most:
-                    pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
-                    out = []
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-                step += 1
-            if out:
-                pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            token, n, comp = token[order], n[order], comp[order]
+            group = np.cumsum(np.append(0, np.diff(token) != 0))
+            change = np.append(True, (np.diff(group) != 0) | (np.diff(comp) != 0))
+            run_first = np.flatnonzero(change)
+            run_end = np.append(run_first[1:], len(token))
+            of = np.cumsum(change) - 1
+            key = (group << 32) + n
+            low = np.searchsorted(key, (group << 32) + -(-need * n // 100))
+            high = np.searchsorted(key, (group << 32) + 100 * n // need, side="right")
+            keep = np.flatnonzero((low < run_first[of]) | (high > run_end[of]))
+            if len(keep):
+                yield b.take(pa.array(order[keep]))
 
     return run
 
 
-def _suffix_filter(need: int):
-    """Pairs whose histograms allow the overlap: the sets differ by at least the bins' differences."""
+def _between(need: int, forest: bool, most: int = 1 << 20):
+    """Pairs of different components within each group that pass the filters: a spanning forest of them, or all."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n1, n2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            least = np.array([_distance(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
-            overlap = -(-need * (n1 + n2) // (100 + need))
-            keep = np.flatnonzero(least <= n1 + n2 - 2 * overlap)
-            yield b.select(["a", "b"]).take(pa.array(keep))
+        for b in whole_groups(batches, GROUP_ROWS):
+            g = _Group(b, need)
+            _, label = np.unique(g.comp, return_inverse=True)
+            parent = np.arange(label.max() + 1)
+
+            def joins(i, j, parent=parent, label=label, g=g):
+                """The pairs of rows to ask; in a forest only those that join what nothing joined before."""
+                at = np.flatnonzero(parent[label[i]] != parent[label[j]])
+                at = at[g.passing(i[at], j[at])]
+                if forest and len(at):
+                    kept = []
+                    for k, x, y in zip(at.tolist(), label[i[at]].tolist(), label[j[at]].tolist(), strict=True):
+                        while parent[x] != x:
+                            x = parent[x]
+                        while parent[y] != y:
+                            y = parent[y]
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            kept.append(k)
+                    while (parent[parent] != parent).any():
+                        parent[:] = parent[parent]
+                    at = np.array(kept, np.int64)
+                return np.stack([i[at], j[at]])
+
+            found, held = [], 0
+            size = g.end - g.first
+            small = np.repeat(size <= SMALL_GROUP, size)
+            live = np.flatnonzero(small)
+            for step in range(1, SMALL_GROUP):  # row i against row i + step, in all small groups at once
+                live = live[live + step < len(g.token)]
+                live = live[(g.token[live] == g.token[live + step]) & (100 * g.n[live] >= need * g.n[live + step])]
+                if not len(live):
+                    break
+                found.append(joins(live, live + step))
+            for first, end in zip(g.first[size > SMALL_GROUP].tolist(), g.end[size > SMALL_GROUP].tolist(), strict=True):
+                comp = parent[label[first:end]]
+                main = np.bincount(comp).argmax()
+                rows = np.arange(first, end)
+                minor = comp != main
+                for i in rows[minor].tolist():  # each row outside the largest component against the block of compatible lengths
+                    low, high = first + np.searchsorted(g.n[first:end], [-(-need * g.n[i] // 100), 100 * g.n[i] // need + 1])
+                    other = rows[low - first : high - first]
+                    other = other[(other > i) | ~minor[other - first]]
+                    if len(other):
+                        found.append(joins(np.full(len(other), i), other))
+                        held += found[-1].shape[1]
+                    if held > most:
+                        yield g.pairs(found)
+                        found, held = [], 0
+            yield g.pairs(found)
 
     return run
 
@@ -286,31 +395,37 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     kind = id_type(docs)
     base = narrow(docs, "doc_id", "text")
     spark = docs.sparkSession
-    scanned = cut(base.mapInArrow(_scan, f"doc_id {kind}, n long, cls long, s2 long, hist binary, sketch binary"))
+    scanned = cut(base.mapInArrow(_scan, f"doc_id {kind}, n long, cls long, s2 long, parity binary, sketch binary"))
     sketch = shared_bytes(spark, _sketch(scanned.filter("sketch is not null").select("sketch")))
     rows = scanned.filter("sketch is null")
-    classes = cut(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min("doc_id").alias("rep"), F.min("hist").alias("hist")))
+    classes = cut(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
+    schema = "token long, cls long, n int, pos int, star boolean"
     shared = cut(
-        base.select("text").mapInArrow(_prefixes(sketch, similarity), "token long, cls long, n int, pos int")
-        .repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared_only, "token long, cls long, n int, pos int")
+        base.select("text").mapInArrow(_prefixes(sketch, similarity), schema)
+        .repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared_only, schema)
     )
-    links = None
+    parities = classes.select("cls", "parity")
+    links = asked = None
     comp = spark.createDataFrame([], "node long, component long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
-        asked = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb")
-        asked = cut(asked.mapInArrow(_suffix_filter(similarity), "a long, b long"))
-        named = asked.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.xxhash64("rep").alias("h"))
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.xxhash64("rep").alias("h"))
         bits = shared_bytes(spark, bitmap(named, "h"))
         items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(bits), "cls long, items binary")
-        both = asked.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
+        both = pairs.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    for finder in (*[_stars(similarity, turn) for turn in range(STAR_ROUNDS)], _all_pairs(similarity)):
+    for finder in (_stars(similarity), _between(similarity, True), _between(similarity, False)):
         release(spark)
-        at = shared.join(comp, shared.cls == comp.node, "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-        pairs = at.repartition("token").sortWithinPartitions("token").mapInArrow(finder, "a long, b long")
+        if links is None:
+            rows_at = shared.filter("star").select("token", "cls", "n", "pos", F.col("cls").alias("comp"))
+        else:
+            at = shared.join(comp, shared.cls == comp.node, "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+            rows_at = cut(at.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided(similarity), "token long, cls long, n int, pos int, comp long"))
+        full = rows_at.join(parities, "cls").select("token", "cls", "n", "pos", "comp", "parity")
+        pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(finder, "a long, b long").distinct()
+        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
+        asked = pairs if asked is None else asked.unionByName(pairs)
         new = cut(verified(pairs))
         links = new if links is None else links.unionByName(new)
         comp = components(links)

@@ -45,6 +45,56 @@ def test_near_duplicates(spark, docs):
     assert got[6][1] == got[7][1] == got[8][1] == 6 and got[10][1] == 10
 
 
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and 100 * both >= 80 * (len(x) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Groups of edited copies (near their source, often not near each other), chains of copies, passages in common."""
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(4000)]
+    fresh = lambda n: rng.choice(words, n).tolist()
+    texts = []
+    for n, edits, copies in ((300, 5, 60), (300, 8, 60), (60, 1, 50), (1500, 40, 25), (12, 1, 40), (200, 12, 40)):
+        source = fresh(n)
+        for _ in range(copies):
+            w = list(source)
+            for at in rng.integers(0, n, edits):
+                w[at] = fresh(1)[0]
+            texts.append(w)
+        texts.append(source)
+    chain = fresh(250)
+    for _ in range(40):
+        chain = [*chain[6:], *fresh(6)]
+        texts.append(chain)
+    passage = fresh(70)
+    texts += [fresh(int(rng.integers(5, 200))) + passage + fresh(int(rng.integers(1, 100))) for _ in range(60)]
+    texts = [" ".join(texts[i]) for i in rng.permutation(len(texts))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(texts)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, int(n))) for n in rng.integers(60, 2500, 60)]
+    p = ngram_join._Parities(pa.array([ngram_join._parity(s) for s in sets], pa.binary()))
+    i, j = np.triu_indices(len(sets), 1)
+    real = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    assert (p.distance(i, j) <= real).all() and p.distance(i, j).max() > 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (12, 11)], "u long, v long")
     assert {tuple(r) for r in components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (10, 10), (11, 10), (12, 10)}
