@@ -39,6 +39,10 @@ GROUP_ROWS = 20_000
 STAR_SHINGLES = 6
 #: Centres of a group in the star round.
 STAR_CENTRES = 6
+#: Largest parities of a row of a group, and of a class for the filter of pairs, as powers of two.
+ROW_BITS, PAIR_BITS = 11, 16
+#: Sets above this size have larger parities for the filter of pairs.
+LONG = 1 << (ROW_BITS - 1)
 #: Groups up to this size are compared together, larger ones one at a time.
 SMALL_GROUP = 32
 
@@ -64,9 +68,14 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _parity(s: np.ndarray) -> bytes:
-    """Parities of the set's counts over 128 to 2,048 bins, a power of two of at least 1.5 bins per item if that is in range."""
-    bits = 1 << min(11, max(7, (3 * len(s) // 2).bit_length()))
+def _parity(s: np.ndarray, largest: int) -> bytes:
+    """Parities of the set's counts over 128 to 2 ** ``largest`` bins, a power of two of at least 1.5 bins per item if that is in range.
+
+    With less than half a bin per item parities say nothing, and the smallest bitmap stands for them.
+    """
+    bits = 1 << min(largest, max(7, (3 * len(s) // 2).bit_length()))
+    if 2 * bits < len(s):
+        return bytes(16)
     at = ((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -124,18 +133,18 @@ def _scan(batches):
         sketch += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([
             b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
-        ], ["doc_id", "n", "cls", "s2", "parity", "sketch"])
+            pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63) for s in sets], pa.int64()), pa.array([_parity(s, ROW_BITS) for s in sets], pa.binary()), pa.array([_parity(s, PAIR_BITS) if len(s) > LONG else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
+        ], ["doc_id", "n", "cls", "s2", "parity", "wide", "sketch"])
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([sketch.tobytes()], pa.binary())], ["doc_id", "n", "cls", "s2", "parity", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sketch.astype(np.uint32).tobytes()], pa.binary())], ["doc_id", "n", "cls", "s2", "parity", "wide", "sketch"])
 
 
 def _add_sketches(batches):
     total = None
     for b in batches:
         for x in b.column(0).to_pylist():
-            x = np.frombuffer(x, np.int64)
-            total = x.copy() if total is None else total + x
+            x = np.frombuffer(x, np.uint32 if len(x) == 4 * SKETCH else np.int64).astype(np.int64)
+            total = x if total is None else total + x
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sketch"])
 
@@ -143,9 +152,11 @@ def _add_sketches(batches):
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all partitions' sketches, added up in a tree; 2 MB whatever the input."""
     n = rows.count()
-    while n > 32:
-        n = -(-n // 32)
+    while True:
+        n = max(1, -(-n // 8))
         rows = rows.repartition(n).mapInArrow(_add_sketches, "sketch binary")
+        if n == 1:
+            break
     total = np.zeros(SKETCH, np.int64)
     for (x,) in rows.collect():
         total += np.frombuffer(x, np.int64)
@@ -355,6 +366,23 @@ def _between(need: int, forest: bool, most: int = 1 << 20):
     return run
 
 
+def _wide_filter(need: int):
+    """Pairs (a, b, na, nb, wa, wb) of long sets whose larger parities allow the overlap, and all others."""
+
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            at = np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False) & b.column(5).is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                n1, n2 = (b.column(i).to_numpy(zero_copy_only=False)[at] for i in (2, 3))
+                both = _Parities(pa.concat_arrays([b.column(i).take(pa.array(at)) for i in (4, 5)]))
+                k = np.arange(len(at))
+                keep[at] = both.distance(k, k + len(at)) <= n1 + n2 - 2 * -(-need * (n1 + n2) // (100 + need))
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(bits):
     def run(batches):
         for b in pieces(batches, "text"):
@@ -395,10 +423,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     kind = id_type(docs)
     base = narrow(docs, "doc_id", "text")
     spark = docs.sparkSession
-    scanned = cut(base.mapInArrow(_scan, f"doc_id {kind}, n long, cls long, s2 long, parity binary, sketch binary"))
+    scanned = cut(base.mapInArrow(_scan, f"doc_id {kind}, n long, cls long, s2 long, parity binary, wide binary, sketch binary"))
     sketch = shared_bytes(spark, _sketch(scanned.filter("sketch is not null").select("sketch")))
     rows = scanned.filter("sketch is null")
-    classes = cut(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
+    classes = cut(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity"), F.min("wide").alias("wide")))
     schema = "token long, cls long, n int, pos int, star boolean"
     shared = cut(
         base.select("text").mapInArrow(_prefixes(sketch, similarity), schema)
@@ -415,16 +443,23 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         both = pairs.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+        sides = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        return sides.mapInArrow(_wide_filter(similarity), "a long, b long")
+
+    shape = ["token", "cls", "n", "pos"]
+    rows_at = shared
     for finder in (_stars(similarity), _between(similarity, True), _between(similarity, False)):
         release(spark)
         if links is None:
-            rows_at = shared.filter("star").select("token", "cls", "n", "pos", F.col("cls").alias("comp"))
+            full = shared.filter("star").withColumn("comp", F.col("cls"))
         else:
-            at = shared.join(comp, shared.cls == comp.node, "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-            rows_at = cut(at.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided(similarity), "token long, cls long, n int, pos int, comp long"))
-        full = rows_at.join(parities, "cls").select("token", "cls", "n", "pos", "comp", "parity")
+            at = rows_at.select(*shape).join(comp, F.col("cls") == F.col("node"), "left").select(*shape, F.coalesce("component", "cls").alias("comp"))
+            full = rows_at = cut(at.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided(similarity), "token long, cls long, n int, pos int, comp long"))
+        full = full.join(parities, "cls").select(*shape, "comp", "parity")
         pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(finder, "a long, b long").distinct()
-        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
+        pairs = cut(pairs) if asked is None else cut(likely(cut(pairs.join(asked, ["a", "b"], "left_anti"))))
         asked = pairs if asked is None else asked.unionByName(pairs)
         new = cut(verified(pairs))
         links = new if links is None else links.unionByName(new)

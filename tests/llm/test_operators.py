@@ -89,7 +89,7 @@ def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
     sets = [np.unique(rng.choice(pool, int(n))) for n in rng.integers(60, 2500, 60)]
-    p = ngram_join._Parities(pa.array([ngram_join._parity(s) for s in sets], pa.binary()))
+    p = ngram_join._Parities(pa.array([ngram_join._parity(s, 11) for s in sets], pa.binary()))
     i, j = np.triu_indices(len(sets), 1)
     real = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
     assert (p.distance(i, j) <= real).all() and p.distance(i, j).max() > 0
