@@ -6,6 +6,7 @@ splits at exactly ``[\\x20\\x09-\\x0D]+``, which are the definitions the operato
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import os
@@ -91,6 +92,18 @@ def kept_by_worker(key, make):
     return held.value
 
 
+def forget_kept() -> None:
+    """Drops what an earlier operator kept in this worker process and gives its memory back to the system."""
+    held = sys.modules.get("tallywood_worker_state")
+    if held is not None and getattr(held, "key", None) is not None:
+        held.key, held.value = None, None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, index of each word of the column among them, words of each row), by Arrow's kernels.
 

@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, column, components, cut, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, shared_bytes, whole_groups, word_codes
+from .common import bitmap, column, components, cut, forget_kept, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, shared_bytes, whole_groups, word_codes
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a power of two).
 SKETCH = 1 << 18
+#: Bytes of text that a task hashes at a time.
+PIECE_BYTES = 3_000_000
 #: Rows of groups that are looked at together.
 GROUP_ROWS = 20_000
 #: Shingles of a prefix that are used in the star round (it only saves work: the later rounds take all).
@@ -124,9 +126,10 @@ class _Parities:
 
 
 def _scan(batches):
+    forget_kept()
     sketch = np.zeros(SKETCH, np.int64)
     kind = None
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", PIECE_BYTES):
         kind = b.column(0).type
         sets = shingle_sets(column(b, "text"))
         flat = np.concatenate(sets)
@@ -168,7 +171,7 @@ def _prefixes(sketch, need: int):
 
     def run(batches):
         seen, counts = {}, sketch.value
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             out = []
             for s in shingle_sets(column(b, "text")):
                 if not len(s):
@@ -385,7 +388,7 @@ def _wide_filter(need: int):
 
 def _sets(bits):
     def run(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             want = np.flatnonzero(in_bitmap(bits.value, b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)))
             if len(want):
                 sets = shingle_sets(column(b, "text").take(pa.array(want)))
