@@ -188,6 +188,40 @@ def test_chroma_finds_the_shift():
     assert int(np.argmin(errors)) == 4 and min(errors) < 0.05
 
 
+def brute_alignments(prints, queries):
+    out = []
+    for q in queries:
+        x = prints[q]
+        for y in {tuple(p) for p in prints.values()}:
+            same, found = [i for i in prints if tuple(prints[i]) == y], []
+            for offset in range(-len(y) + 1, len(x)):
+                both = [(a, y[i - offset]) for i, a in enumerate(x) if 0 <= i - offset < len(y)]
+                votes, wrong = sum(a == b for a, b in both), sum((a ^ b).bit_count() for a, b in both)
+                if votes >= 4 and wrong <= 0.35 * 32 * len(both):
+                    found.append((votes, -abs(offset), -offset, len(both), round(wrong / 32 / len(both), 9)))
+            if found:
+                votes, _, offset, overlap, error = max(found)
+                out.append((q, min(same), len(same), -offset, votes, overlap, error))
+    return sorted(out)
+
+
+def test_alignments_against_brute_force(spark):
+    """Copies, copies with unequal bits, excerpts shorter than half, parts in common and a passage that misleads the votes."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 32, n)
+    noisy = lambda p, share: p ^ ((rng.random((len(p), 32)) < share) @ (1 << np.arange(32)))
+    a, b = fresh(107), fresh(100)
+    twice = np.concatenate([a[40:50], a])
+    misled = np.concatenate([b[:20], fresh(200), noisy(b, 0.06)])
+    made = [a, a, noisy(a, 0.05), a[50:80], np.concatenate([fresh(80), a[:30]]), twice, b, misled, np.repeat(fresh(3), 9), fresh(50), fresh(0)]
+    prints = {i: p.tolist() for i, p in enumerate(made)}
+    df = spark.createDataFrame([(i, p, zlib.crc32(str(p).encode())) for i, p in prints.items()], "id long, prints array<long>, cls long")
+    queries = [i for i, p in prints.items() if p]
+    got = chroma_prints.align(df, F.lit(True)).select("query_id", "match_id", "copies", "offset", "votes", "overlap", F.round("bit_error", 9)).collect()
+    assert sorted(tuple(r) for r in got) == brute_alignments(prints, queries)
+    assert {(0, 2), (0, 3), (0, 4), (2, 0), (6, 7)} <= {(r[0], r[1]) for r in got}
+
+
 def test_quality_and_pipeline_on_small_tables(spark):
     if not SF.exists():
         pytest.skip("no tables")
