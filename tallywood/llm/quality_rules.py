@@ -2,8 +2,8 @@
 
 Base rules look at one text. The method hashes each text's normalised lines (letters only, lower case), counts
 for each host (``source``) the distinct documents that have a line, removes lines above the limit and rejects
-documents that this depletes. Documents with the same least line hash count once, so that copies of one
-document do not make its own lines look like boilerplate.
+documents that this depletes. Documents of equal text count once, so that copies of one document do not make its
+own lines look like boilerplate; near copies are different documents.
 
 One pass over the texts yields a narrow table (statistics and line hashes), kept in the checkpoint folder;
 counting runs on that table with map-side combine, and the join back is an ordinary one that adaptive
@@ -43,9 +43,9 @@ def _measured(docs: DataFrame) -> DataFrame:
     m = F.greatest(F.size("hw") - 4, F.lit(0))
     base = base.withColumn("grams", F.transform(F.arrays_zip(*[F.slice("hw", i, m).alias(f"x{i}") for i in range(1, 6)]), lambda s: F.xxhash64(s)))
     repeated = F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _repeat_words(F.col("grams"))).otherwise(F.lit(0).cast("long"))
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n"), F.md5(normal_line(x).cast("binary")).alias("m")))
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n")))
     base = base.select("doc_id", "source", "th", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated.alias("n_repeat_words"), hashed.alias("lines"))
-    return base.withColumns({"uid": F.monotonically_increasing_id(), "layout": F.xxhash64(F.array_min("lines.m")), "lines": F.arrays_zip(F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))})
+    return base.withColumn("uid", F.monotonically_increasing_id())
 
 
 def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
@@ -57,12 +57,12 @@ def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_kept: float =
     word are no lines. Very long texts are judged whole. Other columns are ignored; ties cannot occur.
     """
     rows = cut(_measured(docs))
-    lines = rows.select("uid", F.coalesce("source", F.lit("\0")).alias("host"), "layout", F.explode("lines").alias("l")).select("uid", "host", "layout", "l.h", "l.n")
-    common = lines.select("host", "h", "layout").distinct().groupBy("host", "h").count().filter(F.col("count") > line_limit).select("host", "h")
+    lines = rows.select("uid", F.coalesce("source", F.lit("\0")).alias("host"), "th", F.explode("lines").alias("l")).select("uid", "host", "th", "l.h", "l.n")
+    common = lines.select("host", "h", "th").distinct().groupBy("host", "h").count().filter(F.col("count") > line_limit).select("host", "h")
     lost = lines.join(common, ["host", "h"]).groupBy("uid").agg(F.sum("n").cast("long").alias("lost"), F.collect_set("h").alias("boilerplate"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     gone = F.coalesce("lost", F.lit(0).cast("long"))
-    out = rows.drop("lines", "layout").join(lost, "uid", "left").withColumns({"base_failed": failed, "boilerplate_words": gone})
+    out = rows.drop("lines").join(lost, "uid", "left").withColumns({"base_failed": failed, "boilerplate_words": gone})
     return out.withColumn("kept", ~failed & (F.col("n_words") - gone >= least_kept * F.col("n_words"))).drop("uid", "lost", "source")
 
 

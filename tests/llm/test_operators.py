@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from pathlib import Path
@@ -222,6 +223,21 @@ def test_alignments_against_brute_force(spark):
     assert {(0, 2), (0, 3), (0, 4), (2, 0), (6, 7)} <= {(r[0], r[1]) for r in got}
 
 
+def own_line(i):
+    return " ".join("".join(chr(97 + int(d)) for d in f"{i * 7919 + j:06d}") for j in range(12))
+
+
+def test_quality_counts_documents_that_share_their_least_line(spark):
+    """A banner whose md5 is less than that of nearly all lines; copies of one text count once."""
+    banner = min((own_line(10**7 + i) for i in range(3000)), key=lambda x: hashlib.md5(x.encode()).digest())
+    texts = [f"{own_line(i)}\n{banner}" for i in range(150)] + [f"{banner}\nx y"] + [own_line(999)] * 150
+    rows = [(i, t, "h") for i, t in enumerate(texts)] + [(1000, f"{own_line(5000)}\n{banner}", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["boilerplate_words"], r["kept"]) for r in quality_rules.verdicts(docs).collect()}
+    assert all(got[i] == (12, True) for i in range(150)) and got[150] == (12, False)
+    assert all(got[i] == (0, True) for i in range(151, 301)) and got[1000] == (0, True)
+
+
 def test_quality_and_pipeline_on_small_tables(spark):
     if not SF.exists():
         pytest.skip("no tables")
