@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Base rules look at one text. The method hashes each text's normalised lines (letters only, lower case), counts
+Base rules look at one text. The method hashes each text's normalised lines (letters only, lower case; lines without letters as they stand), counts
 for each host (``source``) the distinct documents that have a line, removes lines above the limit and rejects
 documents that this depletes. Documents of equal text count once, so that copies of one document do not make its
 own lines look like boilerplate; near copies are different documents.
@@ -32,7 +32,8 @@ def _repeat_words(grams):
 
 
 def normal_line(line):
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
+    """Letters only; without any letter the line itself, so that different lines stay different."""
+    return F.when(line.rlike(r"\p{L}"), F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))).otherwise(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
 def _measured(docs: DataFrame) -> DataFrame:

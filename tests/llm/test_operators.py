@@ -238,6 +238,13 @@ def test_quality_counts_documents_that_share_their_least_line(spark):
     assert all(got[i] == (0, True) for i in range(151, 301)) and got[1000] == (0, True)
 
 
+def test_quality_keeps_different_lines_without_letters(spark):
+    texts = ["\n".join([own_line(i), "* * *", *(f"{i} {j} | {i * j + 0.5}" for j in range(20))]) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {i: t.replace("* * *\n", "") for i, t in enumerate(texts)}
+
+
 def test_quality_and_pipeline_on_small_tables(spark):
     if not SF.exists():
         pytest.skip("no tables")
