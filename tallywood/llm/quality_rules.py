@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules look at one text. The method hashes each text's normalised lines (letters only, lower case; lines without letters as they stand), counts
-for each host (``source``) the distinct documents that have a line, removes lines above the limit and rejects
-documents that this depletes. Documents of equal text count once, so that copies of one document do not make its
+for each host (``source``) the distinct documents that have a line, removes lines in more than a share of the host's distinct
+documents (and in more than a fixed least number of them) and rejects documents that this depletes. Documents of equal text count once, so that copies of one document do not make its
 own lines look like boilerplate; near copies are different documents.
 
 One pass over the texts yields a narrow table (statistics and line hashes), kept in the checkpoint folder;
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import cut, narrow
 from .native import let, words
 
-#: A line in more documents of one host than this is boilerplate; least share of words that must stay.
-LINE_LIMIT, LEAST_KEPT = 100, 0.3
+#: A line in more documents of one host than this, and than this share of them, is boilerplate; least share of words
+#: that must stay.
+LINE_LIMIT, LINE_SHARE, LEAST_KEPT = 100, 0.2, 0.3
 
 
 def _repeat_words(grams):
@@ -49,17 +50,20 @@ def _measured(docs: DataFrame) -> DataFrame:
     return base.withColumn("uid", F.monotonically_increasing_id())
 
 
-def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
+def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT, line_share: float = LINE_SHARE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, th (hash of the text), n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept, boilerplate (line hashes).
 
     Null and empty texts: no words, so base_failed. A null source is a host of its own. Repeated rows and shared
-    ids: each row is judged by itself, and equal texts count as one document of their host. Lines without a
+    ids: each row is judged by itself, and equal texts count as one document of their host. A line is boilerplate
+    in more than ``line_limit`` documents of its host that are more than ``line_share`` of them. Lines without a
     word are no lines. Very long texts are judged whole. Other columns are ignored; ties cannot occur.
     """
     rows = cut(_measured(docs))
     lines = rows.select("uid", F.coalesce("source", F.lit("\0")).alias("host"), "th", F.explode("lines").alias("l")).select("uid", "host", "th", "l.h", "l.n")
-    common = lines.select("host", "h", "th").distinct().groupBy("host", "h").count().filter(F.col("count") > line_limit).select("host", "h")
+    hosts = rows.select(F.coalesce("source", F.lit("\0")).alias("host"), "th").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    often = lines.select("host", "h", "th").distinct().groupBy("host", "h").count().filter(F.col("count") > line_limit)
+    common = often.join(hosts, "host").filter(F.col("count") > line_share * F.col("texts")).select("host", "h")
     lost = lines.join(common, ["host", "h"]).groupBy("uid").agg(F.sum("n").cast("long").alias("lost"), F.collect_set("h").alias("boilerplate"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     gone = F.coalesce("lost", F.lit(0).cast("long"))

@@ -245,6 +245,16 @@ def test_quality_keeps_different_lines_without_letters(spark):
     assert got == {i: t.replace("* * *\n", "") for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("n", [600, 1200])
+def test_quality_limit_is_a_share_of_the_host(spark, n):
+    """A line in an eighth of a host's documents stays and one in three tenths goes, however large the host."""
+    eighth, most = own_line(10**6), own_line(2 * 10**6)
+    texts = ["\n".join([own_line(i), *[eighth] * (i % 8 == 0), *[most] * (i % 10 < 3)]) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {i: t.replace("\n" + most, "") for i, t in enumerate(texts)}
+
+
 def test_quality_and_pipeline_on_small_tables(spark):
     if not SF.exists():
         pytest.skip("no tables")
