@@ -3,8 +3,8 @@
 A page's text is cut into blocks, each with its root-to-leaf path of block-level tags. For every path the text
 length and punctuation of its blocks are added up and divided by their number; the two ratios are smoothed over
 neighbouring blocks in page order and fused by multiplication. Paths whose mean fused score reaches the page's
-threshold are content. The element that holds their text is the article: its other blocks (headings, short
-paragraphs, list items) belong to it as well. Elements that are no article text by their tag, role or class
+threshold are content. The smallest element that holds all their blocks is the article: its other blocks (headings,
+short paragraphs, list items) belong to it as well. Elements that are no article text by their tag, role or class
 (menus, forms, scripts, adverts, comments ...) never count.
 """
 
@@ -35,6 +35,21 @@ NOT_WORDS = set("ad ads advert advertisement adverts adsense banner sponsor spon
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+#: After one of these, a class name says what an element has or lacks, not what it is.
+MODIFIERS = set("has have with without no not is".split())
+
+
+def unwanted(name: str) -> bool:
+    """Whether a class or id names an element that is no article text: by a listed word (``left-sidebar``), but not
+    by one after a modifier (``has-sidebar``, ``page-with-comments``)."""
+    for word in re.split(r"[_\-]+", name):
+        if word in MODIFIERS:
+            return False
+        if word in NOT_WORDS:
+            return True
+    return False
+
+
 class Page:
     """Blocks of one page, found in a single run over its tags."""
 
@@ -42,7 +57,6 @@ class Page:
         self.blocks: list[tuple[str, tuple, str]] = []  # path, ancestors' numbers, text
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, no article text
         self.count = 0
-        self.articles: set[int] = set()
         self.text: list[str] = []
         at = 0
         while m := TOKEN.search(source, at):
@@ -98,9 +112,7 @@ class Page:
         if not bad and rest and tag not in ("html", "body", "article", "main"):
             names = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)}
             bad = names.get("role", "") in NOT_ROLES or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(ATTRIBUTE, "", rest)))
-            bad = bad or not NOT_WORDS.isdisjoint(re.split(r"[\s_\-]+", f"{names.get('class', '')} {names.get('id', '')}"))
-        if tag in ("article", "main"):
-            self.articles.add(self.count)
+            bad = bad or any(unwanted(name) for name in f"{names.get('class', '')} {names.get('id', '')}".split())
         if bad:
             self.flush()
         if not rest.endswith("/") or tag in BLOCK:
@@ -153,22 +165,15 @@ def content_blocks(page: Page, spread: int = 2) -> list[str]:
     deviation = (sum((x - mean) ** 2 * len(b[2]) for x, b in zip(fused, blocks, strict=True)) / weight) ** 0.5
     best = max(score, key=lambda p: (total[p][0] * (1 + total[p][1]), p))
     chosen = {p for p, x in score.items() if x >= mean - deviation and total[p][1]} | {best}
-    # The article: a semantic element with half of the chosen text, else the innermost with most of it.
-    held = defaultdict(int)
-    depth = {}
-    all_chosen = 0
-    for path, above, text in blocks:
+    # The article: the innermost element that holds every chosen block.
+    common = None
+    for path, above, _ in blocks:
         if path in chosen:
-            all_chosen += len(text)
-            for d, number in enumerate(above[:-1] if len(above) > 1 else above):
-                held[number] += len(text)
-                depth[number] = d
-    marked = [n for n in held if n in page.articles and 2 * held[n] >= all_chosen]
-    inner = [n for n in held if 5 * held[n] >= 4 * all_chosen]
-    pick = max(marked or inner, key=lambda n: depth[n], default=None)
-    if pick is None:
+            around = above[:-1] if len(above) > 1 else above
+            common = around if common is None else common[: next((i for i, (a, b) in enumerate(zip(common, around, strict=False)) if a != b), min(len(common), len(around)))]
+    if not common:
         return [t for p, _, t in blocks if p in chosen]
-    return [t for _, above, t in blocks if pick in above]
+    return [t for _, above, t in blocks if common[-1] in above]
 
 
 def main_text(source: str) -> str:

@@ -180,6 +180,16 @@ def test_main_text():
     assert tag_paths.main_text(page) == "Head\nOne, two; three.\nA & B c." and tag_paths.main_text("") == ""
 
 
+def test_main_text_keeps_all_articles_and_the_lead():
+    part = lambda k, n: "".join(f"<p>Part {k}, sentence {i}, with some words, and an end.</p>" for i in range(n))
+    text = tag_paths.main_text(f"<body><nav>Home</nav><main><article>{part('a', 6)}</article><article>{part('b', 4)}</article></main></body>").split("\n")
+    assert len(text) == 10 and text[0].startswith("Part a") and text[-1].startswith("Part b")
+    text = tag_paths.main_text(f"<body><div id=menu>Home</div><div id=post><h1>Head</h1><div class=lead><p>The lead, as it is, in short.</p></div><div class=body>{part('c', 8)}</div></div></body>").split("\n")
+    assert text[:2] == ["Head", "The lead, as it is, in short."] and len(text) == 10
+    text = tag_paths.main_text(f"<body><div class='page-with-comments has-sidebar'>{part('d', 3)}<div class='left-sidebar'>Other, things.</div></div></body>").split("\n")
+    assert len(text) == 3 and text[0].startswith("Part d")
+
+
 def test_chroma_finds_the_shift():
     rng = np.random.default_rng(3)
     x = chroma_prints.samples(chroma_prints.render(rng.normal(0, 0.15, 64).tolist()))
