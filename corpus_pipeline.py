@@ -36,7 +36,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("substring dedup", passages), ("packing", packing)]
-#: Hilbert order and token ids are beyond SQL; tests hold the stages against brute force.
+#: Hilbert order and token ids are beyond SQL; tests check columns, ids and least words, not each stage's rows.
 ORACLE_SQL = None
 
 
