@@ -6,14 +6,16 @@ splits at exactly ``[\\x20\\x09-\\x0D]+``, which are the definitions the operato
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
-import math
 import os
+import shutil
 import sys
 import tempfile
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +30,65 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BITMAP_BITS = 1 << 27
 
 
+#: Spark's settings that let files go: shuffle files at an execution's end, checkpoints that no plan refers to any more.
+SHUFFLE_CLEANUP, CHECKPOINT_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests)."""
+    """The cluster's shared folder. Only in local mode, and only where none is named, a temporary one is made, which
+    goes with the session; a cluster without one is an error, since its machines share no other folder."""
+    context = spark.sparkContext._jsc.sc()
+    context.conf().set(CHECKPOINT_CLEANUP, "true")
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def passing(df: DataFrame) -> DataFrame:
+    """``df`` for a single action, at whose end its shuffle files go."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*")
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors lose nothing."""
+    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors lose nothing. Its shuffle
+    files go at once, its checkpoint when nothing refers to it any more."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(True)
+    return passing(df).checkpoint(True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the checkpoint that ``cut`` made; only for frames that nothing will read again."""
+    place = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if place.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files and broadcasts that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def scratch():
+    """``cut`` for frames that are read within the block only: their checkpoints go at its end."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(cut(df))
+        return made[-1]
+
+    yield keep
+    for df in made:
+        drop(df)
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
@@ -92,16 +132,21 @@ def kept_by_worker(key, make):
     return held.value
 
 
+def trim() -> None:
+    """Gives memory that this worker process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def forget_kept() -> None:
-    """Drops what an earlier operator kept in this worker process and gives its memory back to the system."""
+    """Drops what an earlier operator kept in this worker process."""
     held = sys.modules.get("tallywood_worker_state")
     if held is not None and getattr(held, "key", None) is not None:
         held.key, held.value = None, None
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -188,7 +233,7 @@ def packed_binary(data: bytes, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``most_bytes`` (a single row may hold more)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
@@ -225,17 +270,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Re
         yield joined()
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Fixed-size bitmap (16 MB) of the hashes in ``column``: tells which values may be in it; others aren't.
+def bitmaps(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Fixed-size bitmap (16 MB) of the hashes in each of the columns: tells which values may be in it; others aren't.
 
     It is a pre-filter only: the larger the input, the fewer rows it spares, and never is one lost.
     """
-    bit = F.col(column).bitwiseAND(BITMAP_BITS - 1)
-    got = df.groupBy(F.shiftright(bit, 15).alias("k")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("b")).collect()
-    out = np.zeros((BITMAP_BITS >> 15, 4096), np.uint8)
-    for k, b in got:
-        out[k] = np.frombuffer(b, np.uint8)
-    return out.reshape(-1)
+    each = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("i", "h"))
+    bit = F.col("h").bitwiseAND(BITMAP_BITS - 1)
+    got = passing(each.groupBy("i", F.shiftright(bit, 15).alias("k")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("b"))).collect()
+    out = [np.zeros((BITMAP_BITS >> 15, 4096), np.uint8) for _ in columns]
+    for i, k, b in got:
+        out[i][k] = np.frombuffer(b, np.uint8)
+    return [x.reshape(-1) for x in out]
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    return bitmaps(df, column)[0]
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -243,25 +293,59 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contracted(named: bool):
+    """A partition's links as a forest of stars around the least nodes; ``named``: with those nodes themselves."""
+
+    def run(batches):
+        parts = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        nodes, index = np.unique(np.concatenate(parts, 1), return_inverse=True)
+        a, b = index.reshape(2, -1)
+        parent = np.arange(len(nodes))
+        while len(at := np.flatnonzero(parent[a] != parent[b])):
+            x, y = parent[a[at]], parent[b[at]]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+        keep = slice(None) if named else np.flatnonzero(parent != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[parent][keep])], ["u", "v"])
+
+    return run
+
+
+def components(edges: DataFrame, keep=cut, most: int = 1 << 18) -> DataFrame:
     """Connected components of links (u, v), both long: rows (node, component), component the least node.
 
-    Alternating large-star and small-star steps; every step is a distributed aggregation and join whose
-    result is checkpointed, so the number of rounds grows with the logarithm of a component's size.
+    Links are contracted within partitions of about ``most`` links; if one holds all of them, that is the answer. Else
+    large-star and small-star steps alternate until nothing changes; every step is a distributed aggregation and join
+    whose result is checkpointed, so the number of rounds grows with the logarithm of a component's size. The result
+    is a checkpoint made by ``keep``.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
+    n = e.count()
+    if n <= most:
+        found = keep(e.coalesce(1).mapInArrow(_contracted(True), "node long, component long"))
+        drop(e)
+        return found
+    forest = cut(e.coalesce(-(-n // most)).mapInArrow(_contracted(False), "u long, v long"))
+    drop(e)
+    e, before = forest, None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(e.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first()
+        star = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        after = cut(star.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct())
+        drop(e)
+        e = after
+        now = passing(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = keep(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    drop(e)
+    return found
 
 
 def shared_bytes(spark: SparkSession, value):
@@ -269,10 +353,6 @@ def shared_bytes(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-def partitions_for(rows: int, each: int) -> int:
-    return max(1, math.ceil(rows / each))
-
-
 def tokenizer_path(name: str, path: str | None = None) -> str:
     """``path``, else the place of a vocabulary file of the installed public tokenizers."""
     if path:
