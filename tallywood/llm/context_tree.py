@@ -1,13 +1,13 @@
 """LM scoring by context-tree weighting over binary-decomposed bytes, beside a word-unigram base score.
 
-A byte is eight binary decisions. Each decision has a tree of contexts, the 0 to 4 bytes before it, and in every
+A byte is eight binary decisions. Each decision has a tree of contexts, the 0 to ``depth`` bytes before it, and in every
 context a Krichevsky-Trofimov estimate. Context-tree weighting mixes the estimates of all depths with the weights
 that the training counts give them; the mixed probabilities multiply to a byte's, and the bytes' to a text's.
 Texts end with an end symbol (0xFF, which UTF-8 has not) and begin with padding contexts.
 
 1. One pass counts words and (context, byte) pairs over all training texts, combined per task and summed by an
    ordinary aggregation; pairs that only held-out texts have are listed too, so scoring never meets a new one.
-2. Contexts with the same two nearest bytes form a subtree (at most 2^24 pairs); its weights are computed in
+2. Contexts with the same two nearest bytes form a subtree (at depth 4 at most 2^24 pairs); its weights are computed in
    one task. Above, at most 65,280 sums (nearest byte, decision) meet on the driver.
 3. Scoring reads the texts once more. The most frequent keys (a fixed number) travel to the tasks as hash
    tables; all other keys of a document are joined with the whole tables, so none is lost or approximated.
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, column, cut, id_type, longs, narrow, pieces, release, rows_of, shared_bytes, whole_groups, word_codes
+from .common import binaries, column, cut, drop, id_type, longs, narrow, pieces, rows_of, shared_bytes, whole_groups, word_codes
 
-DEPTH = 4
+#: Bytes of context (2 to 7: a context and its byte are one 64-bit key), and bytes of text handled at a time.
+DEPTH, PIECE_BYTES = 4, 1_000_000
 #: Depth at which the tree is cut into subtrees, one for each pair of nearest bytes.
 TOP = 2
 PAD, END = 0xFE, 0xFF
@@ -167,49 +168,57 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(index, n, len(keys)).astype(np.int64)
 
 
-def _counts(batches):
+def _counts(depth: int):
     """(kind, key, training count) of each task: kind 0 words, 1 (context, byte) pairs."""
-    words, pairs, rows = [], [], 0
-
-    def rows_out():
-        for kind, parts in ((0, words), (1, pairs)):
-            if parts:
-                keys, n = _merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), longs(keys), longs(n)], ["kind", "key", "n"])
-
-    for b in pieces(batches, "text", 2_000_000):
-        held = np.array(b.column(b.schema.get_field_index("held_out")).to_pylist(), bool)
-        texts = binaries(b, "text")
-        learn = column(b, "text").filter(pa.array(~held))
-        if len(learn):
-            words.append(np.unique(_word_codes(learn)[0], return_counts=True))
-        key, row = pair_keys(texts)
-        for out in (False, True):
-            if len(some := key[held[row] == out]):
-                k, n = np.unique(some, return_counts=True)
-                pairs.append((k, n * 0 if out else n))
-        rows += 1
-        if rows % 16 == 0:
-            words[:], pairs[:] = [_merged(words)] if words else [], [_merged(pairs)]
-            if len(words) and len(words[0][0]) + len(pairs[0][0]) > 2_000_000:
-                yield from rows_out()
-                words.clear()
-                pairs.clear()
-    yield from rows_out()
-
-
-def _grow(batches):
+
+    def run(batches):
+        words, pairs, rows = [], [], 0
+
+        def rows_out():
+            for kind, parts in ((0, words), (1, pairs)):
+                if parts:
+                    keys, n = _merged(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), longs(keys), longs(n)], ["kind", "key", "n"])
+
+        for b in pieces(batches, "text", PIECE_BYTES):
+            held = np.array(b.column(b.schema.get_field_index("held_out")).to_pylist(), bool)
+            texts = binaries(b, "text")
+            learn = column(b, "text").filter(pa.array(~held))
+            if len(learn):
+                words.append(np.unique(_word_codes(learn)[0], return_counts=True))
+            key, row = pair_keys(texts, depth)
+            for out in (False, True):
+                if len(some := key[held[row] == out]):
+                    k, n = np.unique(some, return_counts=True)
+                    pairs.append((k, n * 0 if out else n))
+            rows += 1
+            if rows % 16 == 0:
+                words[:], pairs[:] = [_merged(words)] if words else [], [_merged(pairs)]
+                if sum(len(p[0]) for p in (*words, *pairs)) > 2_000_000:
+                    yield from rows_out()
+                    words.clear()
+                    pairs.clear()
+        yield from rows_out()
+
+    return run
+
+
+def _grow(depth: int):
     """Subtrees of a partition sorted by the subtrees' contexts, many small ones at a time."""
-    names = ["key", "n", "chance", "near", "node", "pw", "a", "b"]
-    for batch in whole_groups(batches, 100_000):
-        keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-        chance, (near, node, pw, a, b) = subtree(keys, batch.column(2).to_numpy(zero_copy_only=False).astype(float))
-        size = len(keys)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * size + 1, 8, dtype=np.int32)), pa.array(chance.reshape(-1)))
-        none, zero = pa.array(np.full(size, -1, np.int32)), pa.array(np.zeros(size))
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), listed, none, none, zero, zero, zero], names)
-        size = len(node)
-        yield pa.RecordBatch.from_arrays([longs(np.full(size, -1)), longs(np.zeros(size)), pa.nulls(size, listed.type), pa.array(near.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(pw), pa.array(a), pa.array(b)], names)
+
+    def run(batches):
+        names = ["key", "n", "chance", "near", "node", "pw", "a", "b"]
+        for batch in whole_groups(batches, 100_000):
+            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+            chance, (near, node, pw, a, b) = subtree(keys, batch.column(2).to_numpy(zero_copy_only=False).astype(float), depth)
+            size = len(keys)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * size + 1, 8, dtype=np.int32)), pa.array(chance.reshape(-1)))
+            none, zero = pa.array(np.full(size, -1, np.int32)), pa.array(np.zeros(size))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), listed, none, none, zero, zero, zero], names)
+            size = len(node)
+            yield pa.RecordBatch.from_arrays([longs(np.full(size, -1)), longs(np.zeros(size)), pa.nulls(size, listed.type), pa.array(near.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(pw), pa.array(a), pa.array(b)], names)
+
+    return run
 
 
 def _mixed(levels: list[tuple[np.ndarray, np.ndarray]]):
@@ -235,13 +244,13 @@ def _mixed(levels: list[tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def _scores(words, pairs, all_words: bool):
+def _scores(words, pairs, all_words: bool, depth: int):
     """One row per document with what the hot tables give, and one per other key of it."""
 
     def run(batches):
         word_table, pair_table = HashTable(*words.value), HashTable(*pairs.value)
         names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "kind", "key", "times"]
-        for b in pieces(batches, "text", 2_000_000):
+        for b in pieces(batches, "text", PIECE_BYTES):
             texts = binaries(b, "text")
             size = len(texts)
             code, row = _word_codes(column(b, "text"))
@@ -249,7 +258,7 @@ def _scores(words, pairs, all_words: bool):
             cold_word = np.isnan(c)
             known = np.bincount(row, np.where(cold_word, 0, c) > 0, size)
             logs = np.bincount(row, np.log10(np.where(cold_word, 0, c) + 1), size)
-            key, at = pair_keys(texts)
+            key, at = pair_keys(texts, depth)
             v = pair_table.get(key)
             cold_pair = np.isnan(v)
             score = np.bincount(at, np.where(cold_pair, 0, v), size)
@@ -295,31 +304,33 @@ def _hot(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.frombuffer(b"".join(k for k, _ in got), np.uint64), np.frombuffer(b"".join(v for _, v in got), np.float64), taken == sum(c for _, c in sizes)
 
 
-def score_documents(docs: DataFrame, held_out=None, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out=None, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS, depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probability of the lower-cased text and its end), bits_per_byte (code length, end included).
 
     ``held_out``: a boolean column of the rows not learnt from (null: learnt from); by default crc32 of the id as
     text, mod 7 equal to 2. Null and empty texts: the end token and symbol alone. Repeated rows and shared ids:
     each row counts and is scored by itself. Without training rows N and V are 0 and every decision has chance
-    1/2. Ties among hot keys only decide how a key travels, not its value. Other columns are ignored.
+    1/2. ``depth``: bytes of context. Ties among hot keys only decide how a key travels, not its value. Other columns are ignored.
     """
+    if not TOP <= depth <= 7:
+        raise ValueError("depth must lie between 2 and 7")
     kind = id_type(docs)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
     base = narrow(docs, "doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     spark = docs.sparkSession
-    counts = cut(base.select("text", "held_out").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = cut(base.select("text", "held_out").mapInArrow(_counts(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.filter("kind = 0").select("key", "n", F.col("n").cast("double").alias("value"))
     n_tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    grown = cut(counts.filter("kind = 1").select(F.shiftright("key", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("top"), "key", "n").repartition("top").sortWithinPartitions("top").mapInArrow(_grow, "key long, n long, chance array<double>, near int, node int, pw double, a double, b double"))
+    grown = cut(counts.filter("kind = 1").select(F.shiftright("key", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("top"), "key", "n").repartition("top").sortWithinPartitions("top").mapInArrow(_grow(depth), "key long, n long, chance array<double>, near int, node int, pw double, a double, b double"))
     sums = np.array([tuple(r) for r in grown.filter("node >= 0").groupBy("near", "node").agg(F.sum("pw"), F.sum("a"), F.sum("b")).collect()]).reshape(-1, 5)
     pairs = cut(grown.filter("node < 0").select("key", "n", "chance").mapInArrow(_mixed(upper_levels(sums)), "key long, n long, value double"))
-    release(spark)
+    drop(grown)
     word_keys, word_values, all_words = _hot(words, hot_words)
     pair_keys_, pair_values, _ = _hot(pairs, hot_pairs)
     hot_w, hot_p = shared_bytes(spark, (word_keys, word_values)), shared_bytes(spark, (pair_keys_, pair_values))
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, kind int, key long, times long"
-    rows = base.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scores(hot_w, hot_p, all_words), schema)
+    rows = base.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scores(hot_w, hot_p, all_words, depth), schema)
     tables = words.select(F.lit(0).alias("kind"), "key", "value").unionByName(pairs.select(F.lit(1).alias("kind"), "key", "value"))
     valued = rows.join(tables, ["kind", "key"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     word, pair = F.col("kind") == 0, F.col("kind") == 1
