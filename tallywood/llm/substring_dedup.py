@@ -11,7 +11,8 @@ bucket sees every occurrence.
 2. The remaining super-k-mers go to their buckets as strings of 48-bit codes; buckets are sorted by Spark
    (spilling) and read in chunks that end at a change of minimiser.
 3. A minimiser with more than ``hot`` occurrences has no bucket: each of its windows goes by a 128-bit
-   fingerprint through an ordinary aggregation with map-side combine, so no task gathers a hot group.
+   fingerprint through an ordinary aggregation with map-side combine, so no task gathers a hot group. Which minimisers
+   these are is a second bitmap; one that it names falsely takes this way too, with the same result.
 4. Covered word ranges go back to their documents.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, binaries, bitmap, column, cut, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, shared_bytes, sliding_min, whole_groups, word_codes
+from .common import BASES, binaries, bitmap, column, cut, drop, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, scratch, shared_bytes, sliding_min, whole_groups, word_codes
 from .native import bitmap_chunks, split_by_bitmap
 
 CODE_BYTES = 6
@@ -62,10 +63,9 @@ def _anchors(window: int, anchor: int):
 
 def _send(window: int, anchor: int, bits, hot):
     def run(batches):
-        hots = hot.value
         for b in pieces(batches, "text"):
             flat, row, start, place, n, h = _super_kmers(column(b, "text"), window, anchor)
-            take = np.flatnonzero(in_bitmap(bits.value, h) & ~np.isin(h, hots))
+            take = np.flatnonzero(in_bitmap(bits.value, h) & ~in_bitmap(hot.value, h))
             row, start, place, n, h = row[take], start[take], place[take], n[take], h[take]
             length = n + window - 1
             total = np.cumsum(length)
@@ -76,12 +76,11 @@ def _send(window: int, anchor: int, bits, hot):
     return run
 
 
-def _fingerprints(window: int, anchor: int, hot):
+def _fingerprints(window: int, anchor: int, bits, hot):
     def run(batches):
-        hots = hot.value
         for b in pieces(batches, "text"):
             flat, row, start, place, n, h = _super_kmers(column(b, "text"), window, anchor)
-            take = np.flatnonzero(np.isin(h, hots))
+            take = np.flatnonzero(in_bitmap(bits.value, h) & in_bitmap(hot.value, h))
             row, start, place, n = row[take], start[take], place[take], n[take]
             total = np.cumsum(n)
             step = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
@@ -153,7 +152,7 @@ def _keep(batches):
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(b.schema.get_field_index("carried"))], ["doc_id", "n_words", "n_removed", "kept_text", "carried"])
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12, hot: int | None = None, chunk_rows: int = 20_000, carry: tuple = ()) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12, hot: int = 1 << 16, chunk_rows: int = 20_000, carry: tuple = ()) -> DataFrame:
     """Words of ``docs`` (doc_id, text) without those under a window that starts anywhere else as well.
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), one row per input row, and
@@ -162,8 +161,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     Null or empty texts: no words, nothing removed, empty text. Texts shorter than the window keep all.
     Repeated rows and rows that share a doc_id are documents of their own. Null ids are kept as they are.
     Other columns are ignored. Ties cannot occur: every copy of a repeated window goes, none is preferred.
-    ``hot``: occurrences from which a minimiser's windows go by fingerprint; by default 2**16, or as many as
-    leave at most 2**20 such minimisers.
+    ``hot``: occurrences above which a minimiser's windows go by fingerprint, so the rows of a bucket.
     """
     kind = id_type(docs)
     carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("int")
@@ -171,21 +169,18 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     base = whole.drop("carried")
     spark = docs.sparkSession
     text = base.select("text")
-    seen = text.mapInArrow(_anchors(window, anchor), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").persist()
-    bits = shared_bytes(spark, bitmap(seen, "h"))
-    total = seen.agg(F.sum("c")).first()[0] or 0
-    least = hot if hot is not None else max(1 << 16, total >> 20)
-    hots = np.array([r[0] for r in seen.filter(F.col("c") > least).select("h").collect()], np.int64).view(np.uint64)
-    seen.unpersist()
-    hot_keys = shared_bytes(spark, hots)
-    sent = base.mapInArrow(_send(window, anchor, bits, hot_keys), f"h long, doc_id {kind}, th long, start long, codes binary")
+    seen = cut(text.mapInArrow(_anchors(window, anchor), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
+    often = bitmap(seen.filter(F.col("c") > hot), "h")
+    bits, hot_bits = shared_bytes(spark, bitmap(seen, "h")), shared_bytes(spark, often)
+    drop(seen)
+    sent = base.mapInArrow(_send(window, anchor, bits, hot_bits), f"h long, doc_id {kind}, th long, start long, codes binary")
     covered = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_buckets(window, chunk_rows), f"doc_id {kind}, th long, a long, b long")
-    if len(hots):
-        alone = cut(base.mapInArrow(_fingerprints(window, anchor, hot_keys), f"f1 long, f2 long, doc_id {kind}, th long, a long"))
-        twice = alone.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
-        covered = covered.unionByName(alone.join(twice, ["f1", "f2"]).select("doc_id", "th", "a", (F.col("a") + window).alias("b")))
-    ranges = covered.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    ranges = cut(ranges)
+    with scratch() as keep:
+        if often.any():
+            alone = keep(base.mapInArrow(_fingerprints(window, anchor, bits, hot_bits), f"f1 long, f2 long, doc_id {kind}, th long, a long"))
+            twice = alone.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
+            covered = covered.unionByName(alone.join(twice, ["f1", "f2"]).select("doc_id", "th", "a", (F.col("a") + window).alias("b")))
+        ranges = cut(covered.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
     some, rest = split_by_bitmap(whole, "th", bitmap_chunks(ranges, "t"))
     joined = some.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges", "carried")
     joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"), "carried"))
