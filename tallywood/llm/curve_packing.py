@@ -16,14 +16,13 @@ import bisect
 import gc
 import os
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_type, kept_by_worker, mix, narrow, packed_binary, pieces, split_words, tokenizer_path
+from .common import column, id_type, kept_by_worker, mix, narrow, packed_binary, pieces, split_words, tokenizer_path, trim
 
 DIMENSIONS, BITS, FEATURES = 4, 10, 256
 #: Documents (about) whose keys set the ranges' borders.
@@ -164,6 +163,7 @@ def _tokens(path: str, end_id: int, borders: list[tuple]):
             ids = b.column(b.schema.get_field_index("doc_id"))
             part = [bisect.bisect_right(borders, _place(k, i)) for k, i in zip(keys.tolist(), ids.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(part, pa.int32()), data], ["doc_id", "key", "part", "ids"])
+        trim()
 
     return run
 
@@ -253,7 +253,3 @@ def pack(docs: DataFrame, length: int = 4096, end_id: int = 2, tokenizer: str |
 def op1_curve_packing(spark, sf_dir: str) -> DataFrame:
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc32(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

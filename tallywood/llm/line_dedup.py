@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, narrow, scratch
 from .native import bitmap_chunks, split_by_bitmap, words
 
 LEAST_WORDS = 8
@@ -38,19 +38,19 @@ def _halves(n, w):
     return F.array_distinct(F.array(*side(p), *side(q)))
 
 
-def _removals(base: DataFrame, least_words: int) -> DataFrame:
+def _removals(base: DataFrame, least_words: int, keep) -> DataFrame:
     """doc_id, th, gone: line numbers to remove, for the documents that lose any."""
     place = F.struct("doc_id", "th", "i")
     n = F.size("w")
-    occurrences = cut(_lines(base).select(place.alias("at"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("x"), "w").alias("h2"), F.when(n >= least_words, _halves(n, F.col("w"))).alias("halves")))
-    distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
+    occurrences = keep(_lines(base).select(place.alias("at"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("x"), "w").alias("h2"), F.when(n >= least_words, _halves(n, F.col("w"))).alias("halves")))
+    distinct = keep(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")))
     keys = distinct.select("h1", "h2", "first", F.explode("halves").alias("k"))
     several = keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
     asked = keys.join(several, "k", "left_semi").select("first.doc_id", "first.th", "first.i").distinct()
-    by_document = cut(asked.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("i").alias("wanted")))
+    by_document = keep(asked.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("i").alias("wanted")))
     texts, _ = split_by_bitmap(base, "th", bitmap_chunks(by_document, "t"))
     texts = texts.join(by_document, texts.doc_id.eqNullSafe(F.col("d")) & (texts.th == F.col("t"))).dropDuplicates(["doc_id", "th"])
-    wanted = cut(texts.select("doc_id", "th", F.split("text", "\n").alias("l"), F.explode("wanted").alias("i")).select("doc_id", "th", "i", words(F.col("l")[F.col("i")]).alias("w")))
+    wanted = keep(texts.select("doc_id", "th", F.split("text", "\n").alias("l"), F.explode("wanted").alias("i")).select("doc_id", "th", "i", words(F.col("l")[F.col("i")]).alias("w")))
     # Variants: XOR of (word, place) hashes before the word left out, and of those after it, one place nearer.
     spelled = wanted.select("doc_id", "th", "i", F.size("w").alias("n"), F.posexplode("w").alias("j", "x")).withColumns({"a": F.xxhash64("x", "j"), "b": F.xxhash64("x", F.col("j") - 1)})
     line = Window.partitionBy("doc_id", "th", "i")
@@ -61,7 +61,7 @@ def _removals(base: DataFrame, least_words: int) -> DataFrame:
     itself = F.struct(F.col("n").alias("len"), F.col("whole").alias("key"), F.lit(-1).alias("j"))
     variants = summed.select(place.alias("at"), F.explode(F.when(F.col("j") == 0, F.array(one, itself)).otherwise(F.array(one))).alias("v")).select("at", "v.len", "v.key", "v.j")
     shared = variants.groupBy("len", "key").count().filter("count > 1").select("len", "key")
-    variants = cut(variants.join(shared, ["len", "key"], "left_semi"))
+    variants = keep(variants.join(shared, ["len", "key"], "left_semi"))
     # Replacements: the earliest line with the same variant and place. One word more or less: whole lines and variants of the others.
     earliest = variants.groupBy("len", "key", "j").agg(F.min("at").alias("other"))
     deleted, whole = variants.filter("j >= 0"), variants.filter("j < 0")
@@ -69,7 +69,7 @@ def _removals(base: DataFrame, least_words: int) -> DataFrame:
     pairs = deleted.join(earliest, ["len", "key", "j"]).select("at", "other", F.col("j").alias("cut_at"), F.col("j").alias("cut_other"))
     pairs = pairs.unionByName(whole.join(first_deleted, ["len", "key"]).select("at", "other", F.lit(-1).alias("cut_at"), F.lit(None).cast("int").alias("cut_other")))
     pairs = pairs.unionByName(deleted.join(whole.select("len", "key", F.col("at").alias("other")), ["len", "key"]).select("at", "other", F.col("j").alias("cut_at"), F.lit(-1).alias("cut_other")))
-    pairs = cut(pairs.filter("other < at").groupBy("at").agg(F.min(F.struct("other", "cut_at", "cut_other")).alias("p")).select("at", "p.*"))
+    pairs = keep(pairs.filter("other < at").groupBy("at").agg(F.min(F.struct("other", "cut_at", "cut_other")).alias("p")).select("at", "p.*"))
     # Verification on the words: both lines of a pair, one word apart at most.
     named = pairs.select(F.explode(F.array("at", "other")).alias("of")).distinct()
     spoken = wanted.select(place.alias("of"), "w").join(named, "of", "left_semi")
@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     the order. Ties in the order cannot occur otherwise. Other columns are ignored, lines of any length whole.
     """
     base = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    gone = cut(_removals(base, least_words))
+    with scratch() as keep:
+        gone = cut(_removals(base, least_words, keep))
     some, none = split_by_bitmap(base, "th", bitmap_chunks(gone, "t"))
     joined = some.join(gone, some.doc_id.eqNullSafe(F.col("d")) & (some.th == F.col("t")), "left").select("doc_id", "text", "gone")
     joined = joined.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone")))

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, column, components, cut, forget_kept, id_type, in_bitmap, longs, mix, narrow, packed_binary, pieces, release, rolling, shared_bytes, whole_groups, word_codes
+from .common import bitmaps, column, components, cut, drop, forget_kept, id_type, in_bitmap, longs, mix, narrow, packed_binary, passing, pieces, rolling, scratch, shared_bytes, whole_groups, word_codes
+from .native import bitmap_chunks, split_by_bitmap
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a power of two).
@@ -65,9 +66,14 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _signature(s: np.ndarray) -> int:
-    """64-bit class key of a set as a signed number."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _signature(s: np.ndarray, twins: frozenset = frozenset()) -> int:
+    """64-bit class key of a set as a signed number; a second hash where different sets share the first (``twins``)."""
+    key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    return _second(s) if key in twins else key
+
+
+def _second(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63)
 
 
 def _parity(s: np.ndarray, largest: int) -> bytes:
@@ -129,17 +135,18 @@ def _scan(batches):
     forget_kept()
     sketch = np.zeros(SKETCH, np.int64)
     kind = None
+    names = ["doc_id", "th", "n", "cls", "s2", "parity", "wide", "sketch"]
     for b in pieces(batches, "text", PIECE_BYTES):
         kind = b.column(0).type
         sets = shingle_sets(column(b, "text"))
         flat = np.concatenate(sets)
         sketch += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([
-            b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=7) - (1 << 63) for s in sets], pa.int64()), pa.array([_parity(s, ROW_BITS) for s in sets], pa.binary()), pa.array([_parity(s, PAIR_BITS) if len(s) > LONG else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
-        ], ["doc_id", "n", "cls", "s2", "parity", "wide", "sketch"])
+        numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [_signature(s) for s in sets], [_second(s) for s in sets])]
+        bits = [pa.array(x, pa.binary()) for x in ([_parity(s, ROW_BITS) for s in sets], [_parity(s, PAIR_BITS) if len(s) > LONG else None for s in sets], [None] * len(sets))]
+        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "th"), *numbers, *bits], names)
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sketch.astype(np.uint32).tobytes()], pa.binary())], ["doc_id", "n", "cls", "s2", "parity", "wide", "sketch"])
+        total = pa.array([sketch.astype(np.uint32).tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), *[pa.array([0], pa.int64())] * 2, *[pa.nulls(1, pa.binary())] * 2, total], names)
 
 
 def _add_sketches(batches):
@@ -166,7 +173,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return total
 
 
-def _prefixes(sketch, need: int):
+def _prefixes(sketch, need: int, twins: frozenset):
     """(shingle, class, n, position in rare-first order, whether for the star round) of each set's prefix; a copy seen just before is skipped."""
 
     def run(batches):
@@ -176,10 +183,10 @@ def _prefixes(sketch, need: int):
             for s in shingle_sets(column(b, "text")):
                 if not len(s):
                     continue
-                key = _signature(s)
+                key = _signature(s, twins)
                 if key in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen[key] = None
                 k = len(s) - -(-need * len(s) // 100) + 1
@@ -386,14 +393,18 @@ def _wide_filter(need: int):
     return run
 
 
-def _sets(bits):
+def _sets(documents, classes, twins: frozenset):
+    """(class, set) of the documents that may be asked for, each class once in a piece of text."""
+
     def run(batches):
         for b in pieces(batches, "text", PIECE_BYTES):
-            want = np.flatnonzero(in_bitmap(bits.value, b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)))
+            want = np.flatnonzero(in_bitmap(documents.value, column(b, "h").to_numpy(zero_copy_only=False).view(np.uint64)))
             if len(want):
-                sets = shingle_sets(column(b, "text").take(pa.array(want)))
-                data = b"".join(s.tobytes() for s in sets)
-                yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), packed_binary(data, 8 * np.cumsum([len(s) for s in sets]))], ["cls", "items"])
+                sets = {_signature(s, twins): s for s in shingle_sets(column(b, "text").take(pa.array(want))) if len(s)}
+                keys = np.fromiter(sets, np.int64, len(sets))
+                keys = keys[in_bitmap(classes.value, keys.view(np.uint64))]
+                data = [sets[k] for k in keys.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), packed_binary(b"".join(s.tobytes() for s in data), 8 * np.cumsum([len(s) for s in data]))], ["cls", "items"])
 
     return run
 
@@ -414,25 +425,29 @@ def _verify(need: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text); ``similarity`` in hundredths.
+def _classified(docs: DataFrame, similarity: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, component, least (struct of no_id, doc_id, th: the component's first document)."""
+    with scratch() as keep:
+        return cut(_components_of(docs, similarity, keep))
 
-    Null or empty texts, and texts without words: an empty set, linked with nothing, component_id is the
-    row's own doc_id. Texts of fewer than five words: one shingle, the whole sequence. Rows with equal sets
-    (repeated rows too) are one class and linked. Rows that share a doc_id but not a set are judged apart.
-    A null doc_id counts for links but never names a component unless no member has an id. Ties cannot
-    occur: links are symmetric and the least id names a component. Other columns are ignored.
-    """
+
+def _components_of(docs: DataFrame, similarity: int, keep) -> DataFrame:
     kind = id_type(docs)
-    base = narrow(docs, "doc_id", "text")
+    base = narrow(docs, "doc_id", "text").withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     spark = docs.sparkSession
-    scanned = cut(base.mapInArrow(_scan, f"doc_id {kind}, n long, cls long, s2 long, parity binary, wide binary, sketch binary"))
+    scanned = keep(base.mapInArrow(_scan, f"doc_id {kind}, th long, n long, cls long, s2 long, parity binary, wide binary, sketch binary"))
     sketch = shared_bytes(spark, _sketch(scanned.filter("sketch is not null").select("sketch")))
     rows = scanned.filter("sketch is null")
-    classes = cut(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity"), F.min("wide").alias("wide")))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = keep(rows.filter("n > 0").groupBy("n", "cls", "s2").agg(F.min(first).alias("rep"), F.min("parity").alias("parity"), F.min("wide").alias("wide")))
+    # Different sets of one 64-bit hash: n^2 / 2^65 pairs are expected of n classes, so less than one below 6 * 10^9.
+    twins = frozenset(r[0] for r in passing(classes.groupBy("cls").count().filter("count > 1")).collect())
+    if twins:
+        own = F.when(F.col("cls").isin(list(twins)), F.col("s2")).otherwise(F.col("cls"))
+        classes, rows = classes.withColumn("cls", own), rows.withColumn("cls", own)
     schema = "token long, cls long, n int, pos int, star boolean"
-    shared = cut(
-        base.select("text").mapInArrow(_prefixes(sketch, similarity), schema)
+    shared = keep(
+        base.select("text").mapInArrow(_prefixes(sketch, similarity, twins), schema)
         .repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared_only, schema)
     )
     parities = classes.select("cls", "parity")
@@ -440,11 +455,15 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     comp = spark.createDataFrame([], "node long, component long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.xxhash64("rep").alias("h"))
-        bits = shared_bytes(spark, bitmap(named, "h"))
-        items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(bits), "cls long, items binary")
+        """The links among ``pairs``: each class' set meets each of its pairs once, however many rows it has."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.xxhash64("rep.doc_id").alias("h"))
+        wanted = [shared_bytes(spark, x) for x in bitmaps(named, "h", "cls")]
+        items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(*wanted, twins), "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items"))
         both = pairs.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        out = keep(both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        for b in wanted:
+            b.unpersist()
+        return out
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
@@ -454,30 +473,55 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     shape = ["token", "cls", "n", "pos"]
     rows_at = shared
     for finder in (_stars(similarity), _between(similarity, True), _between(similarity, False)):
-        release(spark)
         if links is None:
             full = shared.filter("star").withColumn("comp", F.col("cls"))
         else:
             at = rows_at.select(*shape).join(comp, F.col("cls") == F.col("node"), "left").select(*shape, F.coalesce("component", "cls").alias("comp"))
-            full = rows_at = cut(at.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided(similarity), "token long, cls long, n int, pos int, comp long"))
+            full = rows_at = keep(at.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided(similarity), "token long, cls long, n int, pos int, comp long"))
+            if rows_at.isEmpty():  # every group is one component, or has no compatible lengths left
+                break
         full = full.join(parities, "cls").select(*shape, "comp", "parity")
         pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(finder, "a long, b long").distinct()
-        pairs = cut(pairs) if asked is None else cut(likely(cut(pairs.join(asked, ["a", "b"], "left_anti"))))
+        pairs = keep(pairs) if asked is None else keep(likely(keep(pairs.join(asked, ["a", "b"], "left_anti"))))
         asked = pairs if asked is None else asked.unionByName(pairs)
-        new = cut(verified(pairs))
+        new = verified(pairs)
         links = new if links is None else links.unionByName(new)
-        comp = components(links)
+        comp = components(links, keep)
+    sketch.unpersist()
     named = classes.join(comp, classes.cls == comp.node, "left").select("n", "cls", "s2", "rep", F.coalesce("component", "cls").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "component").select(F.col("n").alias("cn"), F.col("cls").alias("ccls"), F.col("s2").alias("cs2"), "component_id")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    of = named.join(least, "component").select(F.col("n").alias("cn"), F.col("cls").alias("ccls"), F.col("s2").alias("cs2"), "component", "least")
     out = rows.join(of, (F.col("cls") == F.col("ccls")) & (F.col("s2") == F.col("cs2")) & (F.col("n") == F.col("cn")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text); ``similarity`` in hundredths.
+
+    Null or empty texts, and texts without words: an empty set, linked with nothing, component_id is the
+    row's own doc_id. Texts of fewer than five words: one shingle, the whole sequence. Rows with equal sets
+    (repeated rows too) are one class and linked. Rows that share a doc_id but not a set are judged apart.
+    A null doc_id counts for links but never names a component unless no member has an id. Ties cannot
+    occur: links are symmetric and the least id names a component. Other columns are ignored.
+    """
+    return _classified(docs, similarity).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it, once if its row is repeated."""
-    stay = near_duplicates(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each component: the one with the least doc_id (of equal ids, the one whose text
+    has the least hash). Documents without a word stay, each once; repeated rows stay once.
+
+    Only documents that go or are repeated are joined with their verdicts; a bitmap of fixed size lets the others pass.
+    """
+    rows = _classified(docs, similarity)
+    gone = (F.col("n") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th")))
+    marked = rows.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).agg(F.bool_or(gone).alias("gone_"), F.count("*").alias("rows_")).filter("gone_ or rows_ > 1")
+    marked = cut(marked.select("id_", "th_", "gone_", F.xxhash64("id_", "th_").alias("key_")))
+    drop(rows)
+    own = docs.withColumns({"own_id_": docs["doc_id"], "own_th_": F.xxhash64(F.coalesce(docs["text"], F.lit("")))}).withColumn("own_key_", F.xxhash64("own_id_", "own_th_"))
+    some, others = split_by_bitmap(own, "own_key_", bitmap_chunks(marked, "key_"))
+    stay = some.join(marked, F.col("own_id_").eqNullSafe(F.col("id_")) & (F.col("own_th_") == F.col("th_")), "left").filter("gone_ is null or not gone_").dropDuplicates(["own_id_", "own_th_"])
+    return stay.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

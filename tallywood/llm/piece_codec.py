@@ -12,7 +12,6 @@ chunks). Chunks repeat, so their ids are remembered in a table of bounded size.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 
@@ -226,7 +225,3 @@ def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 def op5_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:
     out = encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
