@@ -22,7 +22,10 @@ POLICIES = {"composite": True, "ep_focused": True, "bulk_focused": True, "eu_foc
 
 @dataclass(frozen=True)
 class MiningConfig:
-    """``k`` best itemsets whose existential probability reaches ``min_probability``; ``max_depth``: most items (0: any)."""
+    """``k`` best itemsets whose existential probability reaches ``min_probability``; ``max_depth``: most items (0: any).
+
+    ``pair_prune``: the levelwise search tests pairs of items before it joins them, for many items and long transactions.
+    """
 
     k: int = 10
     min_probability: float = 0.1
@@ -30,6 +33,7 @@ class MiningConfig:
     max_depth: int = 0
     ep_prune: bool = True
     policy: str = "composite"
+    pair_prune: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "strategy", SEARCH_NAMES.get(self.strategy.upper(), self.strategy))

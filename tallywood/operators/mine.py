@@ -7,10 +7,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import EPSILON, TIE, MiningConfig
+from ..functions import existential_probability
 from .joins import extend, single_rows
 from .prepare import measures, ranked_rows, usable
 from .prune import qualify
@@ -49,8 +50,9 @@ def levelwise(rows: DataFrame, cfg: MiningConfig, statistics: Statistics | None
     """Itemsets of one item, two items ...: each level joins the survivors' lists with the items of higher rank.
 
     A level is computed by one action that brings the best k itemsets so far, k rows, to the driver; their k-th prunes
-    the next level. From three items on, a set's last pair must have a pair bound and a probability that suffice. Two
-    levels are held at a time, and every third one is checkpointed, so that a lost executor costs three at most.
+    the next level. With ``pair_prune``, from three items on a set's last pair must have a pair bound and a probability
+    that suffice. Two levels are held at a time, and every third one is checkpointed, so that a lost executor costs
+    three at most.
     """
     spark = rows.sparkSession
     rows = _persisted(rows)
@@ -61,22 +63,24 @@ def levelwise(rows: DataFrame, cfg: MiningConfig, statistics: Statistics | None
         statistics.level(1, singles, least, cfg)
     later = _later(singles, least, cfg)
     entries = _persisted(rows.join(_sized(later, later.count()), "item", "left_semi"))
-    heads = _open(singles, least, cfg).select("items")
-    level, survivors, n, size, held, pairs = single_rows(entries), heads, heads.count(), 1, [], None
+    survivors = _open(singles, least, cfg).select("items")
+    level, n, size, held, pairs = single_rows(entries), survivors.count(), 1, [], None
+    if cfg.pair_prune and n:
+        pairs = _pairs(entries, least, cfg)
     while n and (not cfg.max_depth or size < cfg.max_depth):
         size += 1
-        grown = extend(level.join(_sized(survivors, n), "items", "left_semi"), entries, pairs)
+        grown = extend(level.join(_sized(survivors, n), "items", "left_semi"), entries, pairs if size > 2 else None)
         grown = kept(grown) if size % KEEP_EVERY == 0 else _persisted(grown)
         judged = _persisted(measures(grown, "items"))
+        # How many could survive by the threshold so far, learnt by the same action.
+        seen = Observation()
+        watched = judged.observe(seen, F.count_if(F.col("bound") >= least - EPSILON).alias("n"))
         before = spark.createDataFrame(found, FOUND)
-        found = top_k(before.unionByName(_results(judged, least, cfg)), cfg.k).collect()
-        least = least_of(found, cfg.k)
+        found = top_k(before.unionByName(_results(watched, least, cfg)), cfg.k).collect()
+        least, n = least_of(found, cfg.k), seen.get["n"]
         if statistics is not None:
             statistics.level(size, judged, least, cfg)
         survivors = _open(judged, least, cfg).select("items")
-        n = survivors.count()
-        if size == 2 and n:
-            pairs = _pairs(entries, judged, least, cfg)
         for df in held:
             df.unpersist()
         level, held = grown, [grown, judged]
@@ -91,16 +95,13 @@ def _later(singles: DataFrame, least: float, cfg: MiningConfig) -> DataFrame:
     return (out.filter(F.col("ep") >= cfg.min_probability - EPSILON) if cfg.tests_probability else out).select("item")
 
 
-def _pairs(entries: DataFrame, judged: DataFrame, least: float, cfg: MiningConfig) -> DataFrame:
-    """i1 < i2 of the pairs that a larger set in the answer may have: sum of ptu * P over their transactions, and probability."""
+def _pairs(entries: DataFrame, least: float, cfg: MiningConfig) -> DataFrame:
+    """i1 < i2 of the pairs that a larger set in the answer may have, by the sum of ptu * P and by probability."""
     e = entries.select("tid", "item", "ptu", "logp")
     other = e.select(F.col("tid").alias("t"), F.col("item").alias("i2"), F.col("logp").alias("l2"))
-    bound = e.withColumnRenamed("item", "i1").join(other, (F.col("tid") == F.col("t")) & (F.col("i1") < F.col("i2"))).groupBy("i1", "i2").agg(F.sum(F.col("ptu") * F.exp(F.col("logp") + F.col("l2"))).alias("bound"))
-    good = bound.filter(F.col("bound") >= least - EPSILON)
-    if cfg.tests_probability:
-        likely = judged.filter(F.col("ep") >= cfg.min_probability - EPSILON).select(F.col("items")[0].alias("i1"), F.col("items")[1].alias("i2"))
-        good = good.join(likely, ["i1", "i2"], "left_semi")
-    good = kept(good.select("i1", "i2"))
+    both = e.withColumnRenamed("item", "i1").join(other, (F.col("tid") == F.col("t")) & (F.col("i1") < F.col("i2"))).withColumn("l", F.col("logp") + F.col("l2"))
+    judged = both.groupBy("i1", "i2").agg(F.sum(F.col("ptu") * F.exp("l")).alias("bound"), existential_probability("l").alias("ep"))
+    good = kept(_open(judged, least, cfg).select("i1", "i2"))
     return _sized(good, good.count())
 
 
@@ -214,11 +215,8 @@ def mine(transactions: DataFrame, profits: DataFrame, cfg: MiningConfig | None =
     ``statistics`` are filled by the levelwise strategy, at the cost of an action a level.
     """
     cfg = cfg or MiningConfig()
-    base = _persisted(usable(transactions, profits))
-    n = base.select("item").distinct().count()
-    rows = ranked_rows(base, n <= SMALL_TABLE)
+    rows = ranked_rows(usable(transactions, profits), profits.count() <= SMALL_TABLE)
     found = levelwise(rows, cfg, statistics) if cfg.strategy == "levelwise" else {"powerset": powerset, "prefix": prefix}[cfg.strategy](rows, cfg)
-    base.unpersist()
     return ranked(top_k(found, cfg.k), cfg.k, order)
 
 

@@ -145,6 +145,7 @@ def queries() -> dict:
         "stream_item_measures": _of(_streamed),
         "topk_best_first": _mined(strategy="BEST_FIRST"),
         "topk_eu_focused": _mined(policy="EU_FOCUSED"),
+        "topk_pair_prune": _mined(pair_prune=True),
         "average_probability": _of(lambda tx, pf: tx.groupBy("tid").agg((100 * F.avg("prob")).alias("avg_percent"))),
         "itemset_prob_in_tx": _of(lambda tx, pf: itemset_in_transactions(tx, pf, [11, 12]).select("tid", "prob", "utility")),
         "itemset_logprob_in_tx": _of(lambda tx, pf: itemset_in_transactions(tx, pf, [12, 11]).select("tid", "contained", "logp")),
@@ -242,6 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "itemset_logprob_in_tx": b + "SELECT tid, COUNT(*) = 2 AS contained, ROUND(CASE WHEN COUNT(*) = 2 THEN SUM(LN(prob)) ELSE -700 END, 4) AS logp FROM e WHERE item IN (11, 12) GROUP BY tid",
         "topk_best_first": mixed,
         "topk_eu_focused": mixed,
+        "topk_pair_prune": mixed,
         "average_probability": b + "SELECT tid, ROUND(100 * AVG(prob), 4) AS avg_percent FROM tx GROUP BY tid",
         "itemset_prob_in_tx": b + "SELECT tid, ROUND(CASE WHEN COUNT(*) = 2 THEN PRODUCT(prob) ELSE 0 END, 4) AS prob, ROUND(SUM(u), 4) AS utility FROM e WHERE item IN (11, 12) GROUP BY tid",
         "sweep_k_minprob": _swept(),

@@ -153,6 +153,7 @@ def test_small_limits_give_the_same_answer(spark, monkeypatch):
         monkeypatch.setattr(mining, "GROUP_ROWS", rows)
         same(mine(df, pf, MiningConfig(8, 0.2, "prefix")), want)
     same(mine(df, pf, MiningConfig(8, 0.2, policy="EU_Focused")), want)
+    same(mine(df, pf, MiningConfig(8, 0.2, pair_prune=True)), want)
 
 
 def test_caches_are_freed(spark):
