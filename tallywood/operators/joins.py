@@ -22,7 +22,7 @@ def extend(level: DataFrame, rows: DataFrame, pairs: DataFrame | None = None) ->
     joined = level.join(e, (F.col("tid") == F.col("t")) & (F.col("rank") > F.col("last_rank")))
     if pairs is not None:
         joined = joined.join(pairs, (F.least("last", "item") == F.col("i1")) & (F.greatest("last", "item") == F.col("i2")), "left_semi")
-    out = joined.select(F.array_sort(F.array_append("items", F.col("item"))).alias("items"), F.col("item").alias("last"), F.col("rank").alias("last_rank"), "tid", (F.col("u") + F.col("eu_")).alias("u"), F.col("er_").alias("rem"), (F.col("logp") + F.col("el_")).alias("logp"))
+    out = joined.select(F.sort_array(F.array_append("items", F.col("item"))).alias("items"), F.col("item").alias("last"), F.col("rank").alias("last_rank"), "tid", (F.col("u") + F.col("eu_")).alias("u"), F.col("er_").alias("rem"), (F.col("logp") + F.col("el_")).alias("logp"))
     return out.filter(F.col("logp") > LOG_EPSILON)
 
 

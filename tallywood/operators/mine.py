@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -33,7 +34,8 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
 
 
 def _singles(rows: DataFrame) -> DataFrame:
-    return measures(rows, "item", "ptwu").withColumn("items", F.array("item"))
+    """Measures of each item; ``place``: its last place in any transaction."""
+    return measures(rows, "item", "ptwu", place=F.max("rank")).withColumn("items", F.array("item"))
 
 
 def _results(df: DataFrame, least: float, cfg: MiningConfig) -> DataFrame:
@@ -52,19 +54,17 @@ def levelwise(rows: DataFrame, cfg: MiningConfig, statistics: Statistics | None
     A level is computed by one action that brings the best k itemsets so far, k rows, to the driver; their k-th prunes
     the next level. With ``pair_prune``, from three items on a set's last pair must have a pair bound and a probability
     that suffice. Two levels are held at a time, and every third one is checkpointed, so that a lost executor costs
-    three at most.
+    three at most. ``rows`` are read several times: the caller caches them.
     """
     spark = rows.sparkSession
-    rows = _persisted(rows)
-    singles = _persisted(_singles(rows))
-    found = top_k(_results(singles, 0.0, cfg), cfg.k).collect()
-    least = least_of(found, cfg.k)
+    singles, seen = _persisted(_singles(rows)), Observation()
+    found = top_k(_results(singles.observe(seen, F.count("*").alias("n")), 0.0, cfg), cfg.k).collect()
+    least, n = least_of(found, cfg.k), seen.get["n"]
     if statistics is not None:
         statistics.level(1, singles, least, cfg)
-    later = _later(singles, least, cfg)
-    entries = _persisted(rows.join(_sized(later, later.count()), "item", "left_semi"))
+    entries = _persisted(rows.join(_sized(_later(singles, least, cfg), n), "item", "left_semi"))
     survivors = _open(singles, least, cfg).select("items")
-    level, n, size, held, pairs = single_rows(entries), survivors.count(), 1, [], None
+    level, size, held, pairs = single_rows(entries), 1, [], None
     if cfg.pair_prune and n:
         pairs = _pairs(entries, least, cfg)
     while n and (not cfg.max_depth or size < cfg.max_depth):
@@ -84,7 +84,7 @@ def levelwise(rows: DataFrame, cfg: MiningConfig, statistics: Statistics | None
         for df in held:
             df.unpersist()
         level, held = grown, [grown, judged]
-    for df in (*held, entries, singles, rows):
+    for df in (*held, entries, singles):
         df.unpersist()
     return spark.createDataFrame(found, FOUND)
 
@@ -108,22 +108,21 @@ def _pairs(entries: DataFrame, least: float, cfg: MiningConfig) -> DataFrame:
 def powerset(rows: DataFrame, cfg: MiningConfig) -> DataFrame:
     """All subsets of each transaction up to ``max_depth`` items, one aggregation; for short transactions.
 
-    Where a transaction has more than ``MOST_SUBSETS`` of them, the levelwise search gives the answer instead.
+    Where a transaction has more than ``MOST_SUBSETS`` of them, learnt by the same action, the levelwise search gives
+    the answer instead.
     """
-    entry = F.struct("item", "u", "logp")
-    baskets = _persisted(rows.groupBy("tid").agg(F.array_sort(F.collect_list(entry)).alias("b")))
-    longest = baskets.agg(F.max(F.size("b"))).first()[0] or 0
-    if sum(comb(longest, i) for i in range(1, (min(cfg.max_depth, longest) if cfg.max_depth else longest) + 1)) > MOST_SUBSETS:
-        baskets.unpersist()
-        return levelwise(rows, cfg)
+    entry, seen = F.struct("item", "u", "logp"), Observation()
+    subsets_of = lambda n: sum(comb(n, i) for i in range(1, min(cfg.max_depth or n, n) + 1))
+    most = next(n for n in count() if subsets_of(n + 1) > MOST_SUBSETS)
+    baskets = rows.groupBy("tid").agg(F.sort_array(F.collect_list(entry)).alias("b")).observe(seen, F.count_if(F.size("b") > most).alias("long"))
+    baskets = baskets.filter(F.size("b") <= most)
     none = F.array(F.struct(F.array().cast("array<int>").alias("items"), F.lit(0.0).alias("u"), F.lit(0.0).alias("logp")))
     grow = lambda s, x: F.struct(F.array_append(s["items"], x["item"]).alias("items"), (s["u"] + x["u"]).alias("u"), (s["logp"] + x["logp"]).alias("logp"))
     open_sets = lambda acc: F.filter(acc, lambda s: F.size(s["items"]) < cfg.max_depth) if cfg.max_depth else acc
     sets = F.aggregate("b", none, lambda acc, x: F.concat(acc, F.transform(open_sets(acc), lambda s: grow(s, x))))
     subsets = baskets.select(F.explode(sets).alias("s")).select("s.items", "s.u", "s.logp", F.lit(0.0).alias("rem")).filter(F.size("items") > 0)
     found = top_k(_results(measures(subsets, "items"), 0.0, cfg), cfg.k).collect()
-    baskets.unpersist()
-    return rows.sparkSession.createDataFrame(found, FOUND)
+    return levelwise(_persisted(rows), cfg) if seen.get["long"] else rows.sparkSession.createDataFrame(found, FOUND)
 
 
 def _search(k: int, min_probability: float, max_depth: int, least: float):
@@ -179,20 +178,21 @@ def prefix(rows: DataFrame, cfg: MiningConfig) -> DataFrame:
     """One task per prefix item searches depth-first below it; for long, dense transactions.
 
     Items whose bound does not suffice are no prefix. A prefix with more than ``GROUP_ROWS`` rows is split by its second
-    item; where that is not enough, the levelwise search gives the answer instead.
+    item; where that is not enough, the levelwise search gives the answer instead. Rows are counted only where the most
+    frequent item and the longest transaction leave room for so many. ``rows`` are read several times: the caller caches
+    them.
     """
-    rows = _persisted(rows)
-    singles = _persisted(_singles(rows))
-    best = top_k(_results(singles, 0.0, cfg), cfg.k).collect()
+    singles, seen = _persisted(_singles(rows)), Observation()
+    best = top_k(_results(singles.observe(seen, (F.max("support") * F.max("place")).alias("most")), 0.0, cfg), cfg.k).collect()
     least = least_of(best, cfg.k)
     later = rows.join(_later(singles, least, cfg), "item", "left_semi")
     head = later.join(_open(singles, least, cfg).select("item"), "item", "left_semi").select(F.col("tid").alias("t"), F.col("item").alias("head"), F.col("rank").alias("hr"), F.col("u").alias("pu"), F.col("logp").alias("pl"))
     below = head.join(later, (F.col("t") == F.col("tid")) & (F.col("rank") > F.col("hr")))
-    heavy = kept(below.groupBy("head").count().filter(F.col("count") > GROUP_ROWS).select("head"))
+    heavy = kept(below.groupBy("head").count().filter(F.col("count") > GROUP_ROWS).select("head")) if (seen.get["most"] or 0) > GROUP_ROWS else None
     shape = ("head", "second", "tid", "item", "ptwu", "u", "rem", "logp", "pu", "pl")
     groups = below.withColumn("second", F.lit(None).cast("int"))
     found = rows.sparkSession.createDataFrame(best, FOUND)
-    if not heavy.isEmpty():
+    if heavy is not None and not heavy.isEmpty():
         split = below.join(heavy, "head", "left_semi")
         pair = split.select("head", F.col("item").alias("second"), "t", F.col("rank").alias("r2"), (F.col("pu") + F.col("u")).alias("pu"), (F.col("pl") + F.col("logp")).alias("pl"), "rem")
         if not cfg.max_depth or cfg.max_depth > 1:
@@ -200,33 +200,47 @@ def prefix(rows: DataFrame, cfg: MiningConfig) -> DataFrame:
             found = found.unionByName(_results(two, least, cfg))
         deeper = pair.drop("rem").join(later, (F.col("t") == F.col("tid")) & (F.col("rank") > F.col("r2")))
         if not deeper.groupBy("head", "second").count().filter(F.col("count") > GROUP_ROWS).isEmpty():
+            singles.unpersist()
             return levelwise(rows, cfg)
         groups = groups.join(heavy, "head", "left_anti").select(*shape).unionByName(deeper.select(*shape))
     searched = groups.select(*shape).groupBy("head", "second").applyInPandas(_search(cfg.k, cfg.min_probability, cfg.max_depth, least), FOUND)
     found = top_k(found.unionByName(searched), cfg.k).collect()
-    for df in (singles, rows):
-        df.unpersist()
+    singles.unpersist()
     return rows.sparkSession.createDataFrame(found, FOUND)
 
 
+def _rows(transactions: DataFrame, profits: DataFrame) -> DataFrame:
+    return ranked_rows(usable(transactions, profits), profits.count() <= SMALL_TABLE)
+
+
+def _search_by(rows: DataFrame, cfg: MiningConfig, order: str = "utility", statistics: Statistics | None = None) -> DataFrame:
+    found = levelwise(rows, cfg, statistics) if cfg.strategy == "levelwise" else {"powerset": powerset, "prefix": prefix}[cfg.strategy](rows, cfg)
+    return ranked(top_k(found, cfg.k), cfg.k, order)
+
+
 def mine(transactions: DataFrame, profits: DataFrame, cfg: MiningConfig | None = None, order: str = "utility", statistics: Statistics | None = None) -> DataFrame:
     """rank, items (sorted), eu, ep, size of the top-K itemsets of (tid, item, qty, prob) and (item, profit).
 
     ``statistics`` are filled by the levelwise strategy, at the cost of an action a level.
     """
     cfg = cfg or MiningConfig()
-    rows = ranked_rows(usable(transactions, profits), profits.count() <= SMALL_TABLE)
-    found = levelwise(rows, cfg, statistics) if cfg.strategy == "levelwise" else {"powerset": powerset, "prefix": prefix}[cfg.strategy](rows, cfg)
-    return ranked(top_k(found, cfg.k), cfg.k, order)
+    rows = _rows(transactions, profits)
+    found = _search_by(rows if cfg.strategy == "powerset" else _persisted(rows), cfg, order, statistics)
+    rows.unpersist()
+    return found
 
 
 def sweep(transactions: DataFrame, profits: DataFrame, ks: list[int], probabilities: list[float], base: MiningConfig | None = None) -> DataFrame:
-    """Results for every pair of k and least probability, from one search for the largest k at each probability."""
-    base = base or MiningConfig()
-    out = None
+    """Results for every pair of k and least probability, from one search for the largest k at each probability.
+
+    The utility rows are made once for all searches.
+    """
+    base, out = base or MiningConfig(), None
+    rows = _persisted(_rows(transactions, profits))
     for p in probabilities or [base.min_probability]:
-        whole = mine(transactions, profits, MiningConfig(max(ks or [base.k]), p, base.strategy, base.max_depth, base.ep_prune, base.policy))
+        whole = _search_by(rows, MiningConfig(max(ks or [base.k]), p, base.strategy, base.max_depth, base.ep_prune, base.policy))
         for k in ks or [base.k]:
             part = whole.filter(F.col("rank") <= k).select(F.lit(k).alias("k"), F.lit(p).alias("min_probability"), "*")
             out = part if out is None else out.unionByName(part)
+    rows.unpersist()
     return out

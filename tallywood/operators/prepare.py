@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EPSILON, LOG_EPSILON
@@ -89,6 +89,6 @@ def itemset_in_transactions(tx: DataFrame, profits: DataFrame, items: list[int])
     return some.select("tid", whole.alias("contained"), "utility", F.when(whole, F.col("p")).otherwise(0.0).alias("prob"), F.when(whole, F.col("l")).otherwise(LOG_EPSILON).alias("logp"))
 
 
-def measures(rows: DataFrame, *keys: str) -> DataFrame:
-    """eu, ep, rem_sum, bound, support of each group of utility rows."""
-    return rows.groupBy(*keys).agg(expected_utility().alias("eu"), existential_probability().alias("ep"), remaining_sum().alias("rem_sum"), upper_bound().alias("bound"), F.count("*").alias("support"))
+def measures(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """eu, ep, rem_sum, bound, support and further aggregates of each group of utility rows."""
+    return rows.groupBy(*keys).agg(expected_utility().alias("eu"), existential_probability().alias("ep"), remaining_sum().alias("rem_sum"), upper_bound().alias("bound"), F.count("*").alias("support"), *[c.alias(name) for name, c in more.items()])

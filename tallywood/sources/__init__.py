@@ -65,7 +65,8 @@ def order_transactions(spark: SparkSession, sf_dir: str, item: str = "brand") ->
     else:
         items = part.select(F.col("p_partkey").cast("int").alias("item"))
         lines = lines.withColumn("item", F.col("l_partkey").cast("int"))
-    tx = lines.groupBy(F.col("l_orderkey").alias("tid"), "item").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"), F.round(0.95 - 5 * F.max("l_discount"), 2).alias("prob"))
+    # Dealt by transaction once: entries, utilities of transactions and ranks need no further shuffle.
+    tx = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("tid"), "item").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"), F.round(0.95 - 5 * F.max("l_discount"), 2).alias("prob"))
     return tx, signed_profits(items)
 
 
