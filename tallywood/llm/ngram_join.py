@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmaps, column, components, cut, drop, forget_kept, id_type, in_bitmap, longs, mix, narrow, packed_binary, passing, pieces, rolling, scratch, shared_bytes, whole_groups, word_codes
+from .common import bitmaps, column, components, cut, drop, forget, forget_kept, id_type, in_bitmap, longs, mix, narrow, packed_binary, passing, pieces, rolling, scratch, shared_bytes, whole_groups, word_codes
 from .native import bitmap_chunks, split_by_bitmap
 
 SHINGLE = 5
@@ -450,6 +450,7 @@ def _components_of(docs: DataFrame, similarity: int, keep) -> DataFrame:
         base.select("text").mapInArrow(_prefixes(sketch, similarity, twins), schema)
         .repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared_only, schema)
     )
+    forget(sketch)
     parities = classes.select("cls", "parity")
     links = asked = None
     comp = spark.createDataFrame([], "node long, component long")
@@ -461,8 +462,7 @@ def _components_of(docs: DataFrame, similarity: int, keep) -> DataFrame:
         items = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(*wanted, twins), "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items"))
         both = pairs.join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b").join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a")
         out = keep(both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        for b in wanted:
-            b.unpersist()
+        forget(*wanted)
         return out
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -487,7 +487,6 @@ def _components_of(docs: DataFrame, similarity: int, keep) -> DataFrame:
         new = verified(pairs)
         links = new if links is None else links.unionByName(new)
         comp = components(links, keep)
-    sketch.unpersist()
     named = classes.join(comp, classes.cls == comp.node, "left").select("n", "cls", "s2", "rep", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     of = named.join(least, "component").select(F.col("n").alias("cn"), F.col("cls").alias("ccls"), F.col("s2").alias("cs2"), "component", "least")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, binaries, bitmap, column, cut, drop, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, scratch, shared_bytes, sliding_min, whole_groups, word_codes
+from .common import BASES, binaries, bitmap, column, cut, drop, forget, id_type, in_bitmap, longs, mix, packed_binary, pieces, rolling, rows_of, scratch, shared_bytes, sliding_min, whole_groups, word_codes
 from .native import bitmap_chunks, split_by_bitmap
 
 CODE_BYTES = 6
@@ -65,7 +65,8 @@ def _send(window: int, anchor: int, bits, hot):
     def run(batches):
         for b in pieces(batches, "text"):
             flat, row, start, place, n, h = _super_kmers(column(b, "text"), window, anchor)
-            take = np.flatnonzero(in_bitmap(bits.value, h) & ~in_bitmap(hot.value, h))
+            mine = in_bitmap(bits.value, h)
+            take = np.flatnonzero(mine & ~in_bitmap(hot.value, h) if hot else mine)
             row, start, place, n, h = row[take], start[take], place[take], n[take], h[take]
             length = n + window - 1
             total = np.cumsum(length)
@@ -171,16 +172,17 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, anchor: int = 12,
     text = base.select("text")
     seen = cut(text.mapInArrow(_anchors(window, anchor), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"))
     often = bitmap(seen.filter(F.col("c") > hot), "h")
-    bits, hot_bits = shared_bytes(spark, bitmap(seen, "h")), shared_bytes(spark, often)
+    bits, hot_bits = shared_bytes(spark, bitmap(seen, "h")), shared_bytes(spark, often) if often.any() else None
     drop(seen)
     sent = base.mapInArrow(_send(window, anchor, bits, hot_bits), f"h long, doc_id {kind}, th long, start long, codes binary")
     covered = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_buckets(window, chunk_rows), f"doc_id {kind}, th long, a long, b long")
     with scratch() as keep:
-        if often.any():
+        if hot_bits:
             alone = keep(base.mapInArrow(_fingerprints(window, anchor, bits, hot_bits), f"f1 long, f2 long, doc_id {kind}, th long, a long"))
             twice = alone.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
             covered = covered.unionByName(alone.join(twice, ["f1", "f2"]).select("doc_id", "th", "a", (F.col("a") + window).alias("b")))
         ranges = cut(covered.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    forget(bits, *([hot_bits] if hot_bits else []))
     some, rest = split_by_bitmap(whole, "th", bitmap_chunks(ranges, "t"))
     joined = some.join(ranges, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("th").eqNullSafe(F.col("t")), "left").select("doc_id", "text", "ranges", "carried")
     joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"), "carried"))

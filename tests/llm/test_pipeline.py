@@ -1,5 +1,7 @@
 """The pipeline against plain Python, stage by stage."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,12 @@ def test_run_drops_what_is_read(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k l m n{i}", "en", "s", 1) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.countDistinct("doc_id")).first()[0] == 3
+
+
+def test_stages_leave_no_broadcasts_behind(spark):
+    """Bitmaps of 16 MB each: a long session must not pile up their files on the driver's disk."""
+    docs = spark.createDataFrame([(i, t, "en", h, 1) for i, t, h in corpus()], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = Path(spark.sparkContext._temp_dir)
+    before = {p: p.stat().st_size for p in folder.iterdir()}
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() < docs.count() and corpus_pipeline.passages(spark, docs, "").count() == docs.count()
+    assert sum(p.stat().st_size for p in folder.iterdir() if p not in before) < 1_000_000
